@@ -21,6 +21,7 @@ from starledger.functions.semantics import (
     ratio2,
     years_between,
 )
+from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.members import additive_by_member, describe_member, resolve_member
 from starledger.operators.ranking import SlicedOrder, rank_values, top_n
 from starledger.star import Star
@@ -69,14 +70,11 @@ def customer_profile(
     Dated sales only; those of unknown customers make one nameless row.
     """
     today = as_of_date(as_of)
-    metrics = (
-        resolve_member(
-            star.sales.where(F.col("order_date").isNotNull()), star.customers, "customer_key"
-        )
-        .groupBy("customer_key")
-        .agg(
-            F.count_distinct("order_number").alias("total_orders"),
-            F.count_distinct("product_key").alias("total_products"),
+    dated = star.sales.where(F.col("order_date").isNotNull())
+    metrics = aggregate_distinct_apart(
+        resolve_member(dated, star.customers, "customer_key"),
+        "customer_key",
+        [
             F.sum("sales_amount").alias("customer_lifetime_value"),
             F.sum("quantity").alias("total_quantity"),
             int_avg(F.col("sales_amount")).alias("avg_transaction_value"),
@@ -85,7 +83,8 @@ def customer_profile(
             F.max("price").alias("highest_price_paid"),
             F.min("price").alias("lowest_price_paid"),
             int_avg(F.col("price")).alias("avg_price_paid"),
-        )
+        ],
+        distinct={"total_orders": "order_number", "total_products": "product_key"},
     )
     described = describe_member(
         metrics,
@@ -165,12 +164,10 @@ def product_profile(
     """
     today = as_of_date(as_of)
     unit_price = ratio(F.col("sales_amount"), F.col("quantity"))
-    metrics = (
-        resolve_member(star.sales, star.products, "product_key")
-        .groupBy("product_key")
-        .agg(
-            F.count_distinct("order_number").alias("total_orders"),
-            F.count_distinct("customer_key").alias("total_customers"),
+    metrics = aggregate_distinct_apart(
+        resolve_member(star.sales, star.products, "product_key"),
+        "product_key",
+        [
             F.sum("sales_amount").alias("total_sales"),
             int_avg(F.col("sales_amount")).alias("avg_transaction_value"),
             F.sum("quantity").alias("total_quantity"),
@@ -179,7 +176,8 @@ def product_profile(
             F.round(F.avg(unit_price), 2).alias("avg_selling_price"),
             F.min("price").alias("min_selling_price"),
             F.max("price").alias("max_selling_price"),
-        )
+        ],
+        distinct={"total_orders": "order_number", "total_customers": "customer_key"},
     )
     described = describe_member(
         metrics, star.products, "product_key", ["product_name", "category", "subcategory", "cost"]

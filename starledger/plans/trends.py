@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starledger.functions.semantics import asc, int_avg, month_start
+from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.periods import sign_label, timeline, with_change
 from starledger.star import Star
 
@@ -34,10 +35,6 @@ def _quantity() -> Column:
     return F.sum("quantity").alias("total_quantity")
 
 
-def _orders() -> Column:
-    return F.count_distinct("order_number").alias("total_orders")
-
-
 def _avg_price() -> Column:
     return int_avg(F.col("price")).alias("avg_price")
 
@@ -58,22 +55,43 @@ def monthly_trend(star: Star) -> DataFrame:
 
 def yearly_trend(star: Star) -> DataFrame:
     return (
-        _by_year(star)
-        .groupBy("order_year")
-        .agg(_sales(), _customers(), _quantity(), _orders(), _avg_price())
+        aggregate_distinct_apart(
+            _by_year(star),
+            "order_year",
+            [_sales(), _quantity(), _avg_price()],
+            distinct={"total_orders": "order_number", "total_customers": "customer_key"},
+        )
+        .select(
+            "order_year",
+            "total_sales",
+            "total_customers",
+            "total_quantity",
+            "total_orders",
+            "avg_price",
+        )
         .orderBy("order_year")
     )
 
 
 def seasonality(star: Star) -> DataFrame:
     """Calendar months added up over all years."""
+    # 2000 stands for any year: the name needs a date, the grouping only the number.
+    name = F.date_format(F.make_date(F.lit(2000), "month_number", F.lit(1)), "MMMM")
     return (
-        _dated(star)
-        .groupBy(
-            F.month("order_date").alias("month_number"),
-            F.date_format("order_date", "MMMM").alias("month_name"),
+        aggregate_distinct_apart(
+            _dated(star).withColumn("month_number", F.month("order_date")),
+            "month_number",
+            [_sales(), _quantity()],
+            distinct={"total_orders": "order_number", "total_customers": "customer_key"},
+        )
+        .select(
+            "month_number",
+            name.alias("month_name"),
+            "total_sales",
+            "total_customers",
+            "total_quantity",
+            "total_orders",
         )
-        .agg(_sales(), _customers(), _quantity(), _orders())
         .orderBy("month_number")
     )
 
