@@ -62,14 +62,22 @@ PRODUCT_COLUMNS = """
 
 
 def customer_profile(
-    star: Star, as_of: date | None = None, limits: Thresholds = Thresholds()
+    star: Star,
+    as_of: date | None = None,
+    limits: Thresholds = Thresholds(),
+    diversity: bool = True,
 ) -> DataFrame:
     """The customer report without its ranks.
 
     A plain lazy frame: a consumer that reads three columns pays for three.
+    Only the distinct products take a pass of their own over the facts, which
+    ``diversity=False`` leaves out along with the two columns built on it.
     Dated sales only; those of unknown customers make one nameless row.
     """
     today = as_of_date(as_of)
+    distinct = {"total_orders": "order_number"}
+    if diversity:
+        distinct["total_products"] = "product_key"
     dated = star.sales.where(F.col("order_date").isNotNull())
     metrics = aggregate_distinct_apart(
         resolve_member(dated, star.customers, "customer_key"),
@@ -84,7 +92,7 @@ def customer_profile(
             F.min("price").alias("lowest_price_paid"),
             int_avg(F.col("price")).alias("avg_price_paid"),
         ],
-        distinct={"total_orders": "order_number", "total_products": "product_key"},
+        distinct,
     )
     described = describe_member(
         metrics,
@@ -95,7 +103,7 @@ def customer_profile(
     sales, orders = F.col("customer_lifetime_value"), F.col("total_orders")
     lifespan, recency = F.col("lifespan_months"), F.col("recency_months")
     last_order = F.col("last_order_date")
-    return (
+    profile = (
         described.withColumn("full_name", full_name(F.col("first_name"), F.col("last_name")))
         .withColumn("age", years_between(F.col("birthdate"), today))
         .withColumn("lifespan_months", months_between(F.col("first_order_date"), last_order))
@@ -112,11 +120,13 @@ def customer_profile(
                 "avg_monthly_spend": ratio2(sales, lifespan),
                 "avg_orders_per_month": ratio2(orders, lifespan),
                 "avg_items_per_order": ratio2(F.col("total_quantity"), orders),
-                "product_diversity_score": ratio2(F.col("total_products"), orders),
                 "customer_health_score": segments.customer_health(sales, recency, orders),
             }
         )
     )
+    if not diversity:
+        return profile
+    return profile.withColumn("product_diversity_score", ratio2(F.col("total_products"), orders))
 
 
 def report_customers(
@@ -146,7 +156,7 @@ def customers_by_value(
 
 
 def at_risk_high_value(star: Star, as_of: date | None = None) -> DataFrame:
-    profile = customer_profile(star, as_of)
+    profile = customer_profile(star, as_of, diversity=False)
     return profile.where(
         (F.col("engagement_status") == "At Risk") & (F.col("value_tier") == "High Value")
     ).select("full_name", "customer_lifetime_value", "recency_months")
