@@ -104,12 +104,15 @@ def customer_profile(
     lifespan, recency = F.col("lifespan_months"), F.col("recency_months")
     last_order = F.col("last_order_date")
     profile = (
-        described.withColumn("full_name", full_name(F.col("first_name"), F.col("last_name")))
-        .withColumn("age", years_between(F.col("birthdate"), today))
-        .withColumn("lifespan_months", months_between(F.col("first_order_date"), last_order))
-        .withColumn("recency_months", months_between(last_order, today))
-        .withColumn("recency_days", F.datediff(today, last_order))
-        .withColumns(
+        described.withColumns(
+            {
+                "full_name": full_name(F.col("first_name"), F.col("last_name")),
+                "age": years_between(F.col("birthdate"), today),
+                "lifespan_months": months_between(F.col("first_order_date"), last_order),
+                "recency_months": months_between(last_order, today),
+                "recency_days": F.datediff(today, last_order),
+            }
+        ).withColumns(
             {
                 "age_group": segments.age_group(F.col("age")),
                 "customer_segment": segments.lifecycle_segment(lifespan, sales, limits),
@@ -196,9 +199,12 @@ def product_profile(
     last_sale, recency = F.col("last_sale_date"), F.col("recency_months")
     margin = F.col("avg_selling_price") - cost
     return (
-        described.withColumn("lifespan_months", months_between(F.col("first_sale_date"), last_sale))
-        .withColumn("recency_months", months_between(last_sale, today))
-        .withColumns(
+        described.withColumns(
+            {
+                "lifespan_months": months_between(F.col("first_sale_date"), last_sale),
+                "recency_months": months_between(last_sale, today),
+            }
+        ).withColumns(
             {
                 "cost_range": segments.report_cost_range(cost),
                 "performance_segment": segments.performance_segment(sales, limits),
