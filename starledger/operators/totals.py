@@ -1,28 +1,32 @@
-"""Totals, shares of a total, and total rows over a grouped frame."""
+"""Shares of a total and total rows over a grouped frame."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starledger.functions.semantics import desc
 
 
-class GrandTotals:
-    """Sums of the measures of a grouped frame, as one scalar subquery.
+def over_groups(measure: str) -> Column:
+    """Sum of a measure over all rows of a grouped frame.
 
-    Name every aggregated column of the frame in ``measures``. The subquery then
-    needs the very exchange the main query needs, and Spark runs that exchange
-    once; leaving a measure out would let column pruning turn the subquery into
-    a second, different pass over the facts.
+    For frames with one row per band, country, category or subcategory: those few
+    rows meet in one task, and nothing below the grouping runs a second time. For
+    a frame with a row per product or customer use ``SlicedOrder`` or
+    :func:`over_members`.
     """
+    return F.sum(measure).over(Window.partitionBy())
 
-    def __init__(self, grouped: DataFrame, measures: list[str]):
-        sums = F.struct(*[F.sum(m).alias(m) for m in measures])
-        self._row = grouped.agg(sums.alias("totals")).scalar()
 
-    def __getitem__(self, measure: str) -> Column:
-        return self._row.getField(measure)
+def over_members(by_member: DataFrame, measure: str) -> Column:
+    """The same sum as a scalar subquery, for a frame that may be large.
+
+    Spark runs the subquery beside the main query. What they share is the first
+    exchange above the facts, so this suits frames that start by folding the
+    facts to one row per key; a join at fact grain would run twice.
+    """
+    return by_member.agg(F.sum(measure)).scalar()
 
 
 def with_total_row(detail: DataFrame, total: DataFrame, sort_by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starledger.functions.semantics import asc, dense_rank_desc, desc, percent
 from starledger.operators.members import additive_by_attributes
 from starledger.operators.ranking import SlicedOrder
-from starledger.operators.totals import GrandTotals
+from starledger.operators.totals import over_groups
 from starledger.star import Star
 
 
@@ -26,11 +26,10 @@ def category_contribution(star: Star) -> DataFrame:
             F.sum("quantity").alias("total_quantity"),
         )
     )
-    totals = GrandTotals(grouped, ["category_sales", "total_orders", "total_quantity"])
     return grouped.select(
         "*",
-        totals["category_sales"].alias("total_sales"),
-        percent(F.col("category_sales"), totals["category_sales"]).alias("sales_percentage"),
+        over_groups("category_sales").alias("total_sales"),
+        percent(F.col("category_sales"), over_groups("category_sales")).alias("sales_percentage"),
         # One row per category of the product hierarchy.
         dense_rank_desc("category_sales").alias("revenue_rank"),
     ).orderBy(*desc("category_sales"), *asc("category"))
@@ -47,12 +46,11 @@ def subcategory_contribution(star: Star) -> DataFrame:
         )
     )
     sales = F.col("subcategory_sales")
-    totals = GrandTotals(grouped, ["subcategory_sales", "total_orders"])
     category_sales = F.sum(sales).over(Window.partitionBy("category"))
     return grouped.select(
         "*",
-        totals["subcategory_sales"].alias("total_sales"),
-        percent(sales, totals["subcategory_sales"]).alias("sales_percentage"),
+        over_groups("subcategory_sales").alias("total_sales"),
+        percent(sales, over_groups("subcategory_sales")).alias("sales_percentage"),
         percent(sales, category_sales).alias("category_percentage"),
     ).orderBy(*desc("subcategory_sales"), *asc("category", "subcategory"))
 

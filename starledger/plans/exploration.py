@@ -23,7 +23,7 @@ from starledger.functions.semantics import (
 from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.members import additive_by_attributes, describe_member, resolve_member
 from starledger.operators.ranking import top_n, top_ranked
-from starledger.operators.totals import GrandTotals, with_total_row
+from starledger.operators.totals import over_groups, over_members, with_total_row
 from starledger.star import Star
 
 CUSTOMER_NAMES = ["first_name", "last_name"]
@@ -176,8 +176,7 @@ def _member_counts(dimension: DataFrame, by: str, key: str, counted: str) -> Dat
 
 
 def _with_share(grouped: DataFrame, counted: str) -> DataFrame:
-    totals = GrandTotals(grouped, [counted])
-    return grouped.withColumn("percentage", percent(F.col(counted), totals[counted]))
+    return grouped.withColumn("percentage", percent(F.col(counted), over_groups(counted)))
 
 
 def _distribution_with_total(dimension: DataFrame, by: str, key: str, counted: str) -> DataFrame:
@@ -228,10 +227,9 @@ def sales_by_category(star: Star) -> DataFrame:
             F.count_distinct("order_number").alias("total_orders"),
         )
     )
-    totals = GrandTotals(grouped, ["total_sales", "total_orders"])
     detail = grouped.select(
         "*",
-        percent(F.col("total_sales"), totals["total_sales"]).alias("sales_percentage"),
+        percent(F.col("total_sales"), over_groups("total_sales")).alias("sales_percentage"),
         # One row per category of the product hierarchy.
         dense_rank_desc("total_sales").alias("revenue_rank"),
     )
@@ -250,11 +248,10 @@ def items_by_country(star: Star) -> DataFrame:
         ["country"],
         {"total_items_sold": "quantity", "total_sales": "sales_amount"},
     )
-    totals = GrandTotals(grouped, measures)
     detail = grouped.select(
         "*",
-        percent(F.col("total_items_sold"), totals["total_items_sold"]).alias("items_percentage"),
-        percent(F.col("total_sales"), totals["total_sales"]).alias("sales_percentage"),
+        percent(F.col("total_items_sold"), over_groups("total_items_sold")).alias("items_percentage"),
+        percent(F.col("total_sales"), over_groups("total_sales")).alias("sales_percentage"),
     )
     total = grouped.agg(*[F.sum(m).alias(m) for m in measures]).select(
         F.lit(TOTAL).alias("country"),
@@ -344,12 +341,12 @@ def top_products_ranked(star: Star, ranks: int = 10) -> DataFrame:
         ["product_name", "category"],
         {"total_sales": "sales_amount"},
     )
-    totals = GrandTotals(per_product, ["total_sales"])
+    all_sales = over_members(per_product, "total_sales")
     return top_ranked(per_product, "total_sales", ranks, "revenue_rank").select(
         "product_name",
         "category",
         "total_sales",
-        percent(F.col("total_sales"), totals["total_sales"]).alias("sales_percentage"),
+        percent(F.col("total_sales"), all_sales).alias("sales_percentage"),
         "revenue_rank",
     )
 
@@ -385,9 +382,8 @@ def _per_subcategory(star: Star) -> DataFrame:
 
 def top_subcategories(star: Star, n: int = 10) -> DataFrame:
     grouped = _per_subcategory(star)
-    totals = GrandTotals(grouped, ["total_sales", "number_of_products"])
     shared = grouped.withColumn(
-        "sales_percentage", percent(F.col("total_sales"), totals["total_sales"])
+        "sales_percentage", percent(F.col("total_sales"), over_groups("total_sales"))
     )
     return top_n(shared, n, *desc("total_sales"), *asc("subcategory", "category"))
 

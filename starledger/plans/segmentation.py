@@ -19,15 +19,14 @@ from starledger.functions.semantics import (
     years_between,
 )
 from starledger.operators.members import additive_by_member, describe_member, resolve_member
-from starledger.operators.totals import GrandTotals
+from starledger.operators.totals import over_groups
 from starledger.star import Star
 
 
 def _summarise(banded: DataFrame, band: str, measures: dict[str, Column], share_of: str, share: str):
     """Measures per band, and each band's share of one of them."""
     grouped = banded.groupBy(band).agg(*[m.alias(name) for name, m in measures.items()])
-    totals = GrandTotals(grouped, list(measures))
-    return grouped.withColumn(share, percent(F.col(share_of), totals[share_of]))
+    return grouped.withColumn(share, percent(F.col(share_of), over_groups(share_of)))
 
 
 def age_groups(star: Star, as_of: date | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from starledger.functions.semantics import asc, desc
 from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.members import additive_by_attributes, additive_by_member, resolve_member
 from starledger.operators.ranking import SlicedOrder, rank_values, tile, top_ranked
-from starledger.operators.totals import GrandTotals, with_total_row
+from starledger.operators.totals import over_groups, over_members, with_total_row
 
 
 def members(spark, rows):
@@ -123,8 +123,8 @@ def test_distinct_counts_apart(facts):
 
 def test_total_row_adds_up_the_groups(facts):
     grouped = facts.groupBy("o").agg(F.sum("x").alias("s"))
-    totals = GrandTotals(grouped, ["s"])
-    detail = grouped.withColumn("whole", totals["s"])
+    detail = grouped.withColumn("whole", over_groups("s"))
+    assert {r.w for r in grouped.withColumn("w", over_members(grouped, "s")).collect()} == {22}
     total = grouped.agg(F.sum("s").alias("s")).withColumn("o", F.lit("Total"))
     got = with_total_row(detail, total, "s").collect()
     assert [tuple(r) for r in got] == [
