@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starledger.functions.semantics import desc
+from starledger.functions.semantics import asc, desc
 
 
 def over_groups(measure: str) -> Column:
@@ -31,7 +31,6 @@ def over_members(by_member: DataFrame, measure: str) -> Column:
 
 def with_total_row(detail: DataFrame, total: DataFrame, sort_by: str) -> DataFrame:
     """Detail rows and their total row, sorted together, largest first."""
-    names = detail.columns
-    return detail.unionByName(total, allowMissingColumns=True).select(*names).orderBy(
-        *desc(sort_by), *[F.col(c).asc_nulls_first() for c in names[:1]]
-    )
+    typed = [F.col(f.name).cast(f.dataType) for f in detail.schema if f.name in total.columns]
+    both = detail.unionByName(total.select(*typed), allowMissingColumns=True)
+    return both.orderBy(*desc(sort_by), *asc(detail.columns[0]))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starledger.functions.semantics import subject_name
 
 
 def catalog_tables(spark: SparkSession, schema: str) -> DataFrame:
@@ -30,3 +33,12 @@ def catalog_columns(spark: SparkSession, schema: str) -> DataFrame:
         "table_schema string, table_name string, ordinal_position int, "
         "column_name string, data_type string, is_nullable boolean",
     )
+
+
+def column_counts(spark: SparkSession, schema: str) -> DataFrame:
+    """Number of columns per table, under the table's subject name."""
+    per_table = catalog_columns(spark, schema).groupBy("table_name").count()
+    return per_table.select(
+        subject_name(F.col("table_name")).alias("table_name"),
+        F.col("count").alias("number_of_columns"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -26,3 +27,15 @@ class Star:
             "dim_products": self.products,
             "fact_sales": self.sales,
         }
+
+    def case_insensitive(self) -> Star:
+        """The same star with texts that differ only in case taken as equal, in
+        grouping, distinct counts, ranking and comparison. Which spelling a group
+        shows is left open."""
+
+        def fold(table: DataFrame) -> DataFrame:
+            return table.select(
+                *[F.collate(c, "UTF8_LCASE").alias(c) if t == "string" else c for c, t in table.dtypes]
+            )
+
+        return Star(*map(fold, (self.customers, self.products, self.sales)))

@@ -170,6 +170,34 @@ def test_profile_with_distinct_counts(star):
     assert found["Customers", "customer_key"].number_of_columns == 10
 
 
+def test_case_insensitive_texts(make_star):
+    products = [{"product_key": 1, "category": "Bikes"}, {"product_key": 2, "category": "bikes"}]
+    star = make_star((), products, [sale("o1", 1, 1, "2013-01-01", 5), sale("O1", 1, 2, "2013-01-01", 6)])
+    assert exploration.sales_by_category(star).count() == 3
+    rows = [tuple(r)[1:3] for r in exploration.sales_by_category(star.case_insensitive()).collect()]
+    assert rows == [(11, 1), (11, 1)]
+    ranks = [r.category_revenue_rank for r in reports.report_products(star.case_insensitive(), AS_OF).collect()]
+    assert sorted(ranks) == [1, 2]
+
+
+# Products per category: the shares must come out as published.
+PORTFOLIO = {"Components": 127, "Bikes": 97, "Clothing": 35, "Accessories": 29, None: 7}
+
+
+def test_portfolio_shares(make_star):
+    categories = [c for c, n in PORTFOLIO.items() for _ in range(n)]
+    products = [{"product_key": i, "category": c} for i, c in enumerate(categories)]
+    rows = exploration.category_distribution(make_star((), products, ())).collect()
+    assert [(r.category, r.percentage) for r in rows] == [
+        ("Total", 100.0),
+        ("Components", 43.05),
+        ("Bikes", 32.88),
+        ("Clothing", 11.86),
+        ("Accessories", 9.83),
+        (None, 2.37),
+    ]
+
+
 def test_views(spark, star):
     reports.create_views(star, AS_OF)
     best = spark.sql("SELECT product_name FROM report_products ORDER BY total_sales DESC LIMIT 1")

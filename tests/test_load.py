@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from starledger.sources import load, schema
-from starledger.sources.catalog import catalog_columns, catalog_tables
+from starledger.sources.catalog import catalog_columns, catalog_tables, column_counts
 
 HEADER = ",".join(schema.DIM_PRODUCTS.names)
 BELL = "1,10,P-1,bell,B_b,Parts,Bells,Yes,5,Road,2010-01-01"
@@ -111,6 +111,7 @@ def test_catalog_target(spark, tmp_path):
     ]
     columns = catalog_columns(spark, "gold").orderBy("ordinal_position").collect()
     assert [c.column_name for c in columns] == schema.DIM_PRODUCTS.names
+    assert [tuple(r) for r in column_counts(spark, "gold").collect()] == [("Products", 11)]
     spark.sql("DROP SCHEMA gold CASCADE")
 
 
