@@ -61,20 +61,13 @@ PRODUCT_COLUMNS = """
 # --- customers ----------------------------------------------------------------
 
 
-def customer_profile(
-    star: Star,
-    as_of: date | None = None,
-    limits: Thresholds = Thresholds(),
-    diversity: bool = True,
-) -> DataFrame:
-    """The customer report without its ranks.
+def customer_metrics(star: Star, diversity: bool = True) -> DataFrame:
+    """Measures and attributes per customer, from dated sales only; those of
+    unknown customers make one nameless row.
 
-    A plain lazy frame: a consumer that reads three columns pays for three.
-    Only the distinct products take a pass of their own over the facts, which
-    ``diversity=False`` leaves out along with the two columns built on it.
-    Dated sales only; those of unknown customers make one nameless row.
+    Distinct products take a pass of their own over the facts, which
+    ``diversity=False`` leaves out.
     """
-    today = as_of_date(as_of)
     distinct = {"total_orders": "order_number"}
     if diversity:
         distinct["total_products"] = "product_key"
@@ -94,51 +87,57 @@ def customer_profile(
         ],
         distinct,
     )
-    described = describe_member(
+    return describe_member(
         metrics,
         star.customers,
         "customer_key",
         ["customer_number", "first_name", "last_name", "country", "gender", "birthdate"],
     )
+
+
+def with_customer_figures(
+    metrics: DataFrame, as_of: date | None = None, limits: Thresholds = Thresholds()
+) -> DataFrame:
+    """Ages, spans, ratios and labels, each row by itself."""
+    today = as_of_date(as_of)
     sales, orders = F.col("customer_lifetime_value"), F.col("total_orders")
     lifespan, recency = F.col("lifespan_months"), F.col("recency_months")
     last_order = F.col("last_order_date")
-    profile = (
-        described.withColumns(
-            {
-                "full_name": full_name(F.col("first_name"), F.col("last_name")),
-                "age": years_between(F.col("birthdate"), today),
-                "lifespan_months": months_between(F.col("first_order_date"), last_order),
-                "recency_months": months_between(last_order, today),
-                "recency_days": F.datediff(today, last_order),
-            }
-        ).withColumns(
-            {
-                "age_group": segments.age_group(F.col("age")),
-                "customer_segment": segments.lifecycle_segment(lifespan, sales, limits),
-                "engagement_status": segments.engagement_status(recency),
-                "value_tier": segments.value_tier(sales),
-                "purchase_frequency_segment": segments.purchase_frequency(orders),
-                "avg_order_value": ratio2(sales, orders),
-                "avg_monthly_spend": ratio2(sales, lifespan),
-                "avg_orders_per_month": ratio2(orders, lifespan),
-                "avg_items_per_order": ratio2(F.col("total_quantity"), orders),
-                "customer_health_score": segments.customer_health(sales, recency, orders),
-            }
-        )
-    )
-    if not diversity:
-        return profile
-    return profile.withColumn("product_diversity_score", ratio2(F.col("total_products"), orders))
+    figures = {
+        "age_group": segments.age_group(F.col("age")),
+        "customer_segment": segments.lifecycle_segment(lifespan, sales, limits),
+        "engagement_status": segments.engagement_status(recency),
+        "value_tier": segments.value_tier(sales),
+        "purchase_frequency_segment": segments.purchase_frequency(orders),
+        "avg_order_value": ratio2(sales, orders),
+        "avg_monthly_spend": ratio2(sales, lifespan),
+        "avg_orders_per_month": ratio2(orders, lifespan),
+        "avg_items_per_order": ratio2(F.col("total_quantity"), orders),
+        "customer_health_score": segments.customer_health(sales, recency, orders),
+    }
+    if "total_products" in metrics.columns:
+        figures["product_diversity_score"] = ratio2(F.col("total_products"), orders)
+    return metrics.withColumns(
+        {
+            "full_name": full_name(F.col("first_name"), F.col("last_name")),
+            "age": years_between(F.col("birthdate"), today),
+            "lifespan_months": months_between(F.col("first_order_date"), last_order),
+            "recency_months": months_between(last_order, today),
+            "recency_days": F.datediff(today, last_order),
+        }
+    ).withColumns(figures)
 
 
 def report_customers(
     star: Star, as_of: date | None = None, limits: Thresholds = Thresholds()
 ) -> DataFrame:
-    """All 38 columns. Computing the profile and staging it happens on call; see
-    :class:`SlicedOrder`."""
+    """All 38 columns.
+
+    The metrics are computed and staged on call (see :class:`SlicedOrder`);
+    figures and labels are added when the report is read.
+    """
     ranked = SlicedOrder(
-        customer_profile(star, as_of, limits),
+        customer_metrics(star),
         "customer_lifetime_value",
         tie_break=["customer_key"],
         within="country",
@@ -147,7 +146,8 @@ def report_customers(
         within_rank="country_revenue_rank",
         ntiles={"revenue_decile": 10, "revenue_quartile": 4},
     )
-    return rank_values(ranked, "total_orders", "order_frequency_rank").select(*CUSTOMER_COLUMNS)
+    ranked = rank_values(ranked, "total_orders", "order_frequency_rank")
+    return with_customer_figures(ranked, as_of, limits).select(*CUSTOMER_COLUMNS)
 
 
 def customers_by_value(
@@ -159,8 +159,9 @@ def customers_by_value(
 
 
 def at_risk_high_value(star: Star, as_of: date | None = None) -> DataFrame:
-    profile = customer_profile(star, as_of, diversity=False)
-    return profile.where(
+    """A filter on the customer report that needs none of its ranks, so it stages nothing."""
+    customers = with_customer_figures(customer_metrics(star, diversity=False), as_of)
+    return customers.where(
         (F.col("engagement_status") == "At Risk") & (F.col("value_tier") == "High Value")
     ).select("full_name", "customer_lifetime_value", "recency_months")
 
@@ -168,14 +169,9 @@ def at_risk_high_value(star: Star, as_of: date | None = None) -> DataFrame:
 # --- products -----------------------------------------------------------------
 
 
-def product_profile(
-    star: Star, as_of: date | None = None, limits: Thresholds = Thresholds()
-) -> DataFrame:
-    """The product report without its ranks and without the share of all sales.
-
-    Undated sales count here; a product with no other sales has no dates.
-    """
-    today = as_of_date(as_of)
+def product_metrics(star: Star) -> DataFrame:
+    """Measures and attributes per product. Undated sales count; a product with no
+    other sales has no dates."""
     unit_price = ratio(F.col("sales_amount"), F.col("quantity"))
     metrics = aggregate_distinct_apart(
         resolve_member(star.sales, star.products, "product_key"),
@@ -192,31 +188,36 @@ def product_profile(
         ],
         distinct={"total_orders": "order_number", "total_customers": "customer_key"},
     )
-    described = describe_member(
+    return describe_member(
         metrics, star.products, "product_key", ["product_name", "category", "subcategory", "cost"]
     ).withColumnRenamed("cost", "product_cost")
+
+
+def with_product_figures(
+    metrics: DataFrame, as_of: date | None = None, limits: Thresholds = Thresholds()
+) -> DataFrame:
+    """Spans, ratios, margins and labels, each row by itself."""
+    today = as_of_date(as_of)
     sales, orders, cost = F.col("total_sales"), F.col("total_orders"), F.col("product_cost")
     last_sale, recency = F.col("last_sale_date"), F.col("recency_months")
     margin = F.col("avg_selling_price") - cost
-    return (
-        described.withColumns(
-            {
-                "lifespan_months": months_between(F.col("first_sale_date"), last_sale),
-                "recency_months": months_between(last_sale, today),
-            }
-        ).withColumns(
-            {
-                "cost_range": segments.report_cost_range(cost),
-                "performance_segment": segments.performance_segment(sales, limits),
-                "recency_status": segments.recency_status(recency),
-                "avg_order_revenue": ratio2(sales, orders),
-                "avg_monthly_revenue": ratio2(sales, F.col("lifespan_months")),
-                "avg_orders_per_customer": ratio2(orders, F.col("total_customers")),
-                "avg_profit_margin": F.round(margin, 2),
-                "profit_margin_pct": percent(margin, cost),
-                "product_health_score": segments.product_health(sales, recency, limits),
-            }
-        )
+    return metrics.withColumns(
+        {
+            "lifespan_months": months_between(F.col("first_sale_date"), last_sale),
+            "recency_months": months_between(last_sale, today),
+        }
+    ).withColumns(
+        {
+            "cost_range": segments.report_cost_range(cost),
+            "performance_segment": segments.performance_segment(sales, limits),
+            "recency_status": segments.recency_status(recency),
+            "avg_order_revenue": ratio2(sales, orders),
+            "avg_monthly_revenue": ratio2(sales, F.col("lifespan_months")),
+            "avg_orders_per_customer": ratio2(orders, F.col("total_customers")),
+            "avg_profit_margin": F.round(margin, 2),
+            "profit_margin_pct": percent(margin, cost),
+            "product_health_score": segments.product_health(sales, recency, limits),
+        }
     )
 
 
@@ -225,14 +226,12 @@ def report_products(
 ) -> DataFrame:
     """All 29 columns, staged on call like the customer report."""
     ranked = SlicedOrder(
-        product_profile(star, as_of, limits),
-        "total_sales",
-        tie_break=["product_key"],
-        within="category",
+        product_metrics(star), "total_sales", tie_break=["product_key"], within="category"
     ).ranked("overall_revenue_rank", total="all_sales", within_rank="category_revenue_rank")
-    return ranked.withColumn(
+    shared = ranked.withColumn(
         "sales_percentage", percent(F.col("total_sales"), F.col("all_sales"))
-    ).select(*PRODUCT_COLUMNS)
+    )
+    return with_product_figures(shared, as_of, limits).select(*PRODUCT_COLUMNS)
 
 
 def products_by_sales(

@@ -88,8 +88,8 @@ def test_product_report(star):
 
 
 def test_report_sales_agree(star):
-    customers = sum(r.customer_lifetime_value for r in reports.customer_profile(star, AS_OF).collect())
-    products = sum(r.total_sales for r in reports.product_profile(star, AS_OF).collect())
+    customers = sum(r.customer_lifetime_value for r in reports.customer_metrics(star).collect())
+    products = sum(r.total_sales for r in reports.product_metrics(star).collect())
     undated = 33
     assert customers + undated == products
 
