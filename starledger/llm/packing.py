@@ -27,7 +27,7 @@ from starledger.sources.staging import stage
 SEQ_LEN = 2048
 END_ID = 1
 #: Pieces of one length that are ranked together; a longer run is split by a hash.
-RANK_BLOCK = 4096
+RANK_BLOCK = 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

@@ -8,7 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starledger.llm import packing, secrets, warc
+from starledger.llm import (
+    decontamination,
+    importance,
+    language,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    secrets,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +28,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"), words=4, percent=85)
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, folder, "documents"))
     return found.select(
@@ -30,10 +45,47 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_overlaps(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
+def line_edit_join(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents")).select(
+        "doc_id", "text", "n_lines", "n_removed"
+    )
+
+
+def surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_entities(_table(spark, folder, "documents"), key="registered query").select(
+        "doc_id", "text", "n_entities"
+    )
+
+
 def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, folder, "documents"))
+
+
+def language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language.identify(docs, language.train(docs)).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        "n_switches",
+    )
+
+
 def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     page = F.pandas_udf(lambda ids: pd.Series([warc.page_of(x) for x in ids], dtype="Int64"), "long")
     _, records = warc.archive_pages(_table(spark, folder, "pages"))
@@ -47,8 +99,15 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": ngram_jaccard,
     "op2_secret_scan": secret_scan,
+    "op3_importance_resampling": importance_resampling,
+    "op4_divergence_rules": divergence_rules,
+    "op5_spaced_seeds": spaced_seeds,
+    "op6_line_edit_join": line_edit_join,
     "op7_shortest_pack_first": pack,
+    "op8_language_crf": language_crf,
+    "op9_surrogates": surrogates,
     "op10_warc_normaliser": warc_round_trip,
 }
 
