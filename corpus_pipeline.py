@@ -1,11 +1,95 @@
-"""Corpus pipeline: documents in, packed sequences out."""
+"""Corpus pipeline: documents in, packed sequences of tokens out.
+
+Each stage works on all documents that the one before kept and returns the columns of
+documents, the last one the pieces of the packed sequences. ``run`` writes every stage's
+result to the staging folder and reads it again, so no stage is computed twice and a lost
+executor costs the tasks it had.
+
+Rows without an id pass the language, line and near-duplicate stages by their text alone and are
+judged like others in the benchmark stage. SQL cannot express the learned labels of the first stage,
+so there is no SQL twin; the tests hold every stage against a plain version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starledger.llm import decontamination, language, line_dedup, ngram_join, packing
+from starledger.sources.staging import stage
+
+LEAST_LANGUAGE_SCORE = 0.5
+WORDS, PERCENT = 5, 80
+BROADCAST_ROWS = 500_000
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _limited(rows: DataFrame) -> DataFrame:
+    """Staged; hinted for broadcast if few enough, else left to a shuffle join."""
+    rows = stage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of which at least half the words are labelled with one language."""
+    return language.keep_identified(docs, language.train(docs), LEAST_LANGUAGE_SCORE)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out; a document that loses all its long lines goes."""
+    shorter = line_dedup.dedup_lines(docs)
+    long_lines = F.filter(
+        F.split("text", "\n"), lambda s: F.length(F.trim(s)) >= line_dedup.LEAST_CHARS
+    )
+    kept = shorter.where((F.col("n_removed") == 0) | (F.size(long_lines) > 0))
+    return kept.withColumn(
+        "n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
+    ).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays: that with the smallest id."""
+    found = ngram_join.jaccard_components(docs, words=WORDS, percent=PERCENT)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(_limited(gone), "doc_id", "left_anti")
+    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = stage(repeated.select("doc_id"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("__pipeline_key", F.xxhash64("doc_id", "text"))
+    hit = decontamination.contaminated(keyed, items, id_col="__pipeline_key")
+    gone = _limited(hit.select(F.col("doc_id").alias("__pipeline_key")))
+    return keyed.join(gone, "__pipeline_key", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("lines", dedup_lines),
+    ("near_copies", drop_near_copies),
+    ("benchmark", decontaminate),
+    ("packing", pack),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for _, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir))
     return docs

@@ -19,7 +19,7 @@ are several chains. Repeated rows are predicted alike.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -291,6 +291,48 @@ class _Labeller:
         return word_marginals(self.potentials[np.array(flat, np.int64)], self.transition, starts, sizes)
 
 
+def _predicted(texts: Iterable[str | None], labeller: _Labeller | None) -> Iterator[tuple]:
+    """Language, score, shares and switches of each text, some texts at a time."""
+    group, size = [], 0
+    for text in texts:
+        group.append(words_of(text))
+        size += len(group[-1])
+        if size >= WORDS_AT_ONCE:
+            yield from _predicted_group(group, labeller)
+            group, size = [], 0
+    yield from _predicted_group(group, labeller)
+
+
+def _predicted_group(group: list[list[str]], labeller: _Labeller | None) -> list[tuple]:
+    texts = [words for words in group if words]
+    rows = []
+    if labeller and texts:
+        marginals = labeller.marginals(texts)
+        lengths = np.array([len(t) for t in texts])
+        starts = np.cumsum(lengths) - lengths
+        shares = np.add.reduceat(marginals.astype(np.float64), starts) / lengths[:, None]
+        best = marginals.argmax(1)
+        differs = np.concatenate([[0], (best[1:] != best[:-1]).astype(np.int64)])
+        differs[starts] = 0
+        switches = np.add.reduceat(differs, starts)
+    at = 0
+    for words in group:
+        if not (labeller and words):
+            rows.append((UNDETERMINED, 0.0, None, 0))
+            continue
+        own = shares[at]
+        likeliest = int(own.argmax())
+        score = min(1.0, float(own[likeliest]))
+        language = labeller.model.languages[likeliest]
+        rows.append((language, score, own, int(switches[at])))
+        at += 1
+    return rows
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    return (text.as_py() for text in column)
+
+
 PREDICTED = "doc_id long, lang_pred string, score double, shares array<double>, n_switches long"
 
 
@@ -302,48 +344,35 @@ def identify(
     ``n_switches`` counts neighbours among a document's words whose likeliest languages differ.
     """
 
-    def rows_of(group: list[tuple[int | None, list[str]]], labeller: _Labeller | None) -> list[tuple]:
-        texts = [words for _, words in group if words]
-        rows = []
-        if labeller and texts:
-            marginals = labeller.marginals(texts)
-            lengths = np.array([len(t) for t in texts])
-            starts = np.cumsum(lengths) - lengths
-            shares = np.add.reduceat(marginals.astype(np.float64), starts) / lengths[:, None]
-            best = marginals.argmax(1)
-            differs = np.concatenate([[0], (best[1:] != best[:-1]).astype(np.int64)])
-            differs[starts] = 0
-            switches = np.add.reduceat(differs, starts)
-        at = 0
-        for doc_id, words in group:
-            if not (labeller and words):
-                rows.append((doc_id, UNDETERMINED, 0.0, None, 0))
-                continue
-            own = shares[at]
-            likeliest = int(own.argmax())
-            score = min(1.0, float(own[likeliest]))
-            language = labeller.model.languages[likeliest]
-            rows.append((doc_id, language, score, own, int(switches[at])))
-            at += 1
-        return rows
-
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(model) if model else None
-        types = [pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
+        types = [pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
         names = ["doc_id", "lang_pred", "score", "shares", "n_switches"]
         for batch in batches:
-            rows, group, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                group.append((doc_id, words_of(text.as_py())))
-                size += len(group[-1][1])
-                if size >= WORDS_AT_ONCE:
-                    rows += rows_of(group, labeller)
-                    group, size = [], 0
-            rows += rows_of(group, labeller)
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+            rows = list(_predicted(_texts(batch.column(1)), labeller))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
+                [
+                    batch.column(0),
+                    *(pa.array(c, t) for c, t in zip(columns, types, strict=True)),
+                ],
+                names,
             )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(predict, PREDICTED)
+
+
+def keep_identified(
+    docs: DataFrame, model: Model | None, least_score: float, *, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least_score``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(model) if model else None
+        for batch in batches:
+            found = _predicted(_texts(batch.column(text_col)), labeller)
+            kept = [lang != UNDETERMINED and score >= least_score for lang, score, _, _ in found]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

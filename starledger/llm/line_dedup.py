@@ -283,22 +283,27 @@ def dedup_lines(
     threshold: int = THRESHOLD,
     least_chars: int = LEAST_CHARS,
 ) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and n_lines, n_removed."""
+    """``docs`` with repeated lines taken out of the text, and n_lines, n_removed.
+
+    Columns of ``docs`` with these two names are replaced.
+    """
     removed = stage(
         repeated_lines(
             docs, id_col=id_col, text_col=text_col, threshold=threshold, least_chars=least_chars
         )
-    ).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    ).select(F.col("doc_id").alias("__line_doc"), F.col("removed").alias("__line_gone"))
+    gone = F.col("__line_gone")
+    joined = docs.drop("n_lines", "n_removed").join(
+        _limited(removed), F.col(id_col).cast("long") == F.col("__line_doc"), "left"
+    )
     lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_removed", i))
-    joined = docs.join(_limited(removed), F.col(id_col).cast("long") == F.col("_id"), "left")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
     return joined.select(
         *(
-            F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c)
-            if c == text_col
-            else F.col(f"`{c}`")
+            F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in docs.columns
+            if c not in ("n_lines", "n_removed")
         ),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -305,23 +305,24 @@ def redrawn(known: DataFrame, key: str) -> DataFrame:
 def replace_entities(
     docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with surrogates in the text, and n_entities."""
+    """``docs`` with surrogates in the text, and n_entities (which replaces a column of that name)."""
+    docs = docs.drop("n_entities")
     again = stage(redrawn(_all_entities(docs, text_col), key))
     text = F.col(text_col)
     draws = F.create_map().cast("map<string,int>")
     if not again.isEmpty():  # the rows that hold an entity drawn anew get its draw
-        own = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(entities(text))).alias("spelled"))
+        own = docs.select(F.col(id_col).alias("__pii_id"), F.explode(F.array_distinct(entities(text))).alias("spelled"))
         own = own.withColumn("kind", entity_type(F.col("spelled")))
         own = own.withColumn("entity", canonical(F.col("kind"), F.col("spelled")))
         listed = (
             own.join(again, ["kind", "entity"])
-            .groupBy("_id")
-            .agg(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "attempt")).alias("_draws"))
+            .groupBy("__pii_id")
+            .agg(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "attempt")).alias("__pii_draws"))
         )
-        listed = stage(listed.withColumn("_draws", F.map_from_entries("_draws")))
+        listed = stage(listed.withColumn("__pii_draws", F.map_from_entries("__pii_draws")))
         listed = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
-        docs = docs.join(listed, docs[id_col].eqNullSafe(listed["_id"]), "left").drop("_id")
-        draws = F.coalesce(F.col("_draws"), draws)
+        docs = docs.join(listed, docs[id_col].eqNullSafe(listed["__pii_id"]), "left").drop("__pii_id")
+        draws = F.coalesce(F.col("__pii_draws"), draws)
 
     def replaced(spelled: Column, attempts: Column) -> Column:
         def typed(kind: Column) -> Column:
@@ -338,15 +339,15 @@ def replace_entities(
             F.zip_with(parts, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
         )
 
-    found = docs.withColumn("_found", entities(text)).withColumn("_attempts", draws)
-    none = F.size("_found") == 0
+    found = docs.withColumn("__pii_found", entities(text)).withColumn("__pii_attempts", draws)
+    none = F.size("__pii_found") == 0
     return found.select(
         *(
-            F.when(text.isNull() | none, text).otherwise(rewritten(F.col("_found"), F.col("_attempts"))).alias(c)
+            F.when(text.isNull() | none, text).otherwise(rewritten(F.col("__pii_found"), F.col("__pii_attempts"))).alias(c)
             if c == text_col
             else F.col(f"`{c}`")
             for c in docs.columns
-            if c != "_draws"
+            if c != "__pii_draws"
         ),
-        F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(F.size("__pii_found"), F.lit(0)).cast("long").alias("n_entities"),
     )

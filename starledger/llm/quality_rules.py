@@ -3,7 +3,8 @@
 Base metrics fail short and repetitive texts. The method's verdict compares two histograms of a
 text, of character classes and of common words, with those of each language by the
 Jensen-Shannon distance; a text stays if some language is near enough in both. The references
-are the histograms of all texts of a language together. Histograms of short texts are noise, so
+are the histograms of all texts of a language that pass the base rules; texts that are far from the first
+references are left out of the second ones, which decide. Histograms of short texts are noise, so
 a text below a least number of words or letters is not judged by them.
 
 Null text is a text without words: all counts 0, base_failed. Rows are judged one by one, so
@@ -26,8 +27,8 @@ MOST_REPEATED_PERCENT = 30
 WINDOW = 8
 JUDGED_WORDS = 50
 JUDGED_CHARS = 250
-MOST_CLASS_DISTANCE = 0.25
-MOST_WORD_DISTANCE = 0.55
+MOST_CLASS_DISTANCE = 0.18
+MOST_WORD_DISTANCE = 0.4
 
 # --- fixed values: character classes and common words of languages -------------
 
@@ -171,6 +172,15 @@ def jensen_shannon(counts: Column, reference: list[float]) -> Column:
     return let(own, divergence)
 
 
+def _nearest(rows: DataFrame, shares: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """Rows with the distances of both histograms to the nearest language, rounded to 6 digits."""
+    for column, name, part in (("class_distance", "classes", 0), ("word_distance", "commons", 1)):
+        distances = [jensen_shannon(F.col(name), r[part]) for r in shares]
+        least = reduce(lambda a, b: F.least(a, b), distances) if distances else F.lit(None)
+        rows = rows.withColumn(column, F.round(least.cast("double"), 6))
+    return rows
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -181,23 +191,21 @@ def judge(
     most_word_distance: float = MOST_WORD_DISTANCE,
 ) -> DataFrame:
     """Metrics, class_distance, word_distance (to the nearest language, 6 digits) and verdicts."""
-    measured = stage(measure(docs, id_col, text_col, lang_col))
-    nearest = []
-    for name, part in (("classes", 0), ("commons", 1)):
-        distances = [jensen_shannon(F.col(name), r[part]) for r in references(measured)]
-        least = reduce(lambda a, b: F.least(a, b), distances) if distances else F.lit(None)
-        nearest.append(F.round(least.cast("double"), 6))
     base_failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
-    judged = (F.col("n_words") >= JUDGED_WORDS) & (F.col("n_chars") >= JUDGED_CHARS)
-    far = (F.col("class_distance") > most_class_distance) | (
-        F.col("word_distance") > most_word_distance
+    far = (F.col("n_words") >= JUDGED_WORDS) & (F.col("n_chars") >= JUDGED_CHARS)
+    far &= F.coalesce(
+        (F.col("class_distance") > most_class_distance)
+        | (F.col("word_distance") > most_word_distance),
+        F.lit(False),
     )
+    measured = measure(docs, id_col, text_col, lang_col).withColumn("base_failed", base_failed)
+    measured = stage(measured)
+    sound = measured.where("NOT base_failed")
+    near = _nearest(sound, references(sound)).where(~far)
     return (
-        measured.withColumn("class_distance", nearest[0])
-        .withColumn("word_distance", nearest[1])
-        .withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & ~(judged & F.coalesce(far, F.lit(False))))
+        _nearest(measured, references(near))
+        .withColumn("kept", ~F.col("base_failed") & ~far)
         .drop("classes", "commons", "n_chars", "lang")
     )
