@@ -18,6 +18,7 @@ from starledger.llm import (
     pii,
     quality_rules,
     secrets,
+    twins,
     warc,
 )
 
@@ -112,31 +113,9 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
-    "op10_warc_normaliser": """
-WITH paged AS (
-    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
-), keepers AS (
-    SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM paged
-)
-SELECT
-    page_id,
-    CAST(strlen(payload) AS BIGINT) AS payload_bytes,
-    list_aggregate(
-        list_transform(
-            range(0, 32),
-            lambda i: substr(
-                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                CAST(
-                    (CAST('0x' || substr(digest, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT)
-                     // [32768, 1024, 32, 1][i % 4 + 1]) % 32 AS INT
-                ) + 1,
-                1
-            )
-        ),
-        'string_agg', ''
-    ) AS payload_digest,
-    CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
-FROM keepers
-""",
+    "op1_ngram_jaccard": twins.NGRAM_JACCARD,
+    "op4_divergence_rules": twins.DIVERGENCE_RULES,
+    "op5_spaced_seeds": twins.SPACED_SEEDS,
+    "op6_line_edit_join": twins.LINE_EDIT_JOIN,
+    "op10_warc_normaliser": twins.WARC_NORMALISER,
 }
