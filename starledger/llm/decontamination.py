@@ -2,9 +2,9 @@
 
 A mask picks some of ``span`` neighbouring words and ignores the others, so one hash still
 meets its counterpart when ignored words were substituted. Hashes of every position of every
-text are joined with those of the test items. Around each hit both texts are aligned (word i of
-the item with word i + shift of the text) and the window of ``window`` words that contains
-the hit and agrees best is sought; ``least_equal`` equal words make an overlap.
+text are joined with those of the test items. A hit aligns both texts (word i of the item
+with word i + shift of the text), and the window of ``window`` aligned words that agrees best
+is sought; ``least_equal`` equal words make an overlap.
 With the default masks every window with at most two substitutions has a seed that
 is free of them (held by a test), so such overlaps are all found.
 
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.llm.expressions import let, total
+from starledger.sources.staging import stage
 
 # --- fixed values: masks; 1 picks a word, 0 ignores it --------------------------
 
@@ -43,27 +44,21 @@ def seed(hashes: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *picked)
 
 
-def _positions(rows: DataFrame, hashes: str) -> DataFrame:
-    """One row per start of a span."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - SPAN)
-    return rows.where(F.size(hashes) >= SPAN).withColumn("at", F.explode(starts))
+def seeds(hashes: Column, masks: tuple[str, ...]) -> Column:
+    """Seeds of all positions, mask after mask; none for fewer than ``SPAN`` words."""
 
+    def of_all(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - SPAN)
+        def of(mask: str) -> Column:
+            return F.transform(starts, lambda i: seed(h, i, mask))
 
-def item_seeds(items: DataFrame, id_col: str, text_col: str, masks: tuple[str, ...]) -> DataFrame:
-    """Seeds of the test items with the item's words and where the seed begins."""
-    hashed = items.select(
-        F.col(id_col).cast("long").alias("item_id"), word_hashes(F.col(text_col)).alias("item")
-    ).distinct()
-    placed = _positions(hashed, "item").withColumn(
-        "seed", F.explode(F.array(*(seed(F.col("item"), F.col("at"), m) for m in masks)))
-    )
-    return placed.select("seed", "item_id", "item", F.col("at").alias("item_at")).distinct()
+        return F.when(F.size(h) >= SPAN, F.concat(*map(of, masks)))
+
+    return let(hashes, of_all)
 
 
-def best_window(
-    text: Column, item: Column, shift: Column, item_at: Column, window: int
-) -> Column:
-    """Equal words in the best window of the alignment that contains the hit's span."""
+def best_window(text: Column, item: Column, shift: Column, window: int) -> Column:
+    """Equal words in the best window of the alignment of two lists of words."""
 
     def sums(equal: Column) -> Column:
         size = F.least(F.lit(window), F.size(equal))
@@ -72,9 +67,8 @@ def best_window(
             F.transform(windows, lambda w: total(F.slice(equal, w, size), F.lit(0)))
         )
 
-    margin = window - SPAN
-    first = F.greatest(F.lit(0), -shift, item_at - margin)
-    last = F.least(F.size(item), F.size(text) - shift, item_at + SPAN + margin) - 1
+    first = F.greatest(F.lit(0), -shift)
+    last = F.least(F.size(item), F.size(text) - shift) - 1
     equal = F.transform(
         F.sequence(first, last),
         lambda j: F.when(F.get(item, j) == F.get(text, j + shift), 1).otherwise(0),
@@ -94,31 +88,59 @@ def find_overlaps(
     window: int = WINDOW,
     least_equal: int = LEAST_EQUAL,
 ) -> DataFrame:
-    """(doc_id, item_id) pairs that overlap: n_hits, equal_words (of the best window), first_word."""
-    seeds = item_seeds(items, item_id_col, item_text_col, masks)
-    few = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """(doc_id, item_id) pairs that overlap: equal_words (of the best window), first_word (of a hit).
+
+    Only ids, places and seeds of texts are joined; the words of texts that have a hit are read again
+    to verify each alignment once.
+    """
     hashed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("words")
+    )
+    tests = stage(
+        items.select(
+            F.col(item_id_col).cast("long").alias("item_id"),
+            word_hashes(F.col(item_text_col)).alias("item"),
+        ).distinct()
     )
-    probes = _positions(hashed, "text").withColumn(
-        "probe", F.explode(F.array(*(seed(F.col("text"), F.col("at"), m) for m in masks)))
+    wanted = stage(
+        tests.select("item_id", F.size("item").alias("n"), F.posexplode(seeds(F.col("item"), masks)))
+        .select("item_id", F.col("col").alias("seed"), F.expr(f"pos % (n - {SPAN - 1})").alias("item_at"))
+        .distinct()
     )
-    hits = probes.join(F.broadcast(seeds) if few else seeds, F.col("probe") == F.col("seed"))
-    shift = F.col("at") - F.col("item_at")
-    verified = hits.withColumn(
-        "equal", best_window(F.col("text"), F.col("item"), shift, F.col("item_at"), window)
+    few = wanted.count() <= BROADCAST_ROWS
+    probes = hashed.select(
+        "doc_id", F.size("words").alias("n"), F.posexplode(seeds(F.col("words"), masks))
+    ).select("doc_id", F.col("col").alias("seed"), F.expr(f"pos % (n - {SPAN - 1})").alias("at"))
+    hits = stage(
+        probes.join(F.broadcast(wanted) if few else wanted, "seed")
+        .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .agg(F.min(F.col("at").cast("long")).alias("first_word"))
+    )
+    found = stage(hits.select(F.col("doc_id").alias("_hit")).distinct())
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    texts = stage(
+        hashed.join(found, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi").distinct()
+    )
+    aligned = (
+        hits.alias("h")
+        .join(texts.alias("t"), F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")))
+        .join(tests, "item_id")
+        .select("h.doc_id", "item_id", "first_word", "words", "item", "shift")
+        .where((F.size("words") > F.col("shift")) & (F.size("item") > -F.col("shift")))
     )
     size = F.size("item")
     needed = (
         F.when(size >= window, least_equal).when(size >= SPAN + 2, size - 1).otherwise(size)
     )
     return (
-        verified.where(F.col("equal") >= needed)
+        aligned.withColumn(
+            "equal", best_window(F.col("words"), F.col("item"), F.col("shift"), window)
+        )
+        .where(F.col("equal") >= needed)
         .groupBy("doc_id", "item_id")
         .agg(
-            F.count("*").alias("n_hits"),
             F.max("equal").cast("long").alias("equal_words"),
-            F.min(F.col("at").cast("long")).alias("first_word"),
+            F.min("first_word").alias("first_word"),
         )
     )
 
