@@ -1,32 +1,27 @@
 """The same results in SQL, for DuckDB over the same Parquet tables.
 
-Written independently of the Spark jobs: only label tables and parameters are
-shared. Rounding goes through the shortest text of a double, read as a DECIMAL:
+Written independently of the Spark jobs, with bounds and labels of its own. Rounding goes through the shortest text of a double, read as a DECIMAL:
 Spark rounds that text half up, whatever the binary value behind it.
 """
 
 from __future__ import annotations
 
-from starledger.functions import segments as G
-from starledger.jobs import AS_OF, PRODUCT_LIMITS
-from starledger.functions.segments import Thresholds
+from checks import limits as G
+from checks.limits import AS_OF, DEFAULT_LIMITS, REGISTERED_LIMITS, ProductLimits
 
 STAR = """
 dim_customers AS (
   SELECT c_custkey AS customer_key,
          c_custkey + 11000 AS customer_id,
          c_name AS customer_number,
-         CASE WHEN c_custkey % 70 <> 0 THEN split_part(c_name, '#', 1) END AS first_name,
+         split_part(c_name, '#', 1) AS first_name,
          split_part(c_name, '#', 2) AS last_name,
          n_name AS country,
          CASE c_custkey % 2 WHEN 0 THEN 'Married' ELSE 'Single' END AS marital_status,
          CASE c_custkey % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE 'n/a' END AS gender,
-         CASE WHEN c_custkey % 50 <> 0
-              THEN CAST(DATE '1940-01-01' + CAST((c_custkey * 137) % 24000 AS INTEGER) AS DATE)
-         END AS birthdate,
+         CAST(DATE '1940-01-01' + CAST((c_custkey * 137) % 24000 AS INTEGER) AS DATE) AS birthdate,
          DATE '1994-01-01' AS create_date
-  FROM customer JOIN nation ON n_nationkey = c_nationkey
-  WHERE c_custkey % 89 <> 0
+  FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
 ),
 dim_products AS (
   SELECT p_partkey AS product_key,
@@ -34,23 +29,21 @@ dim_products AS (
          'P-' || p_partkey AS product_number,
          p_name || ' ' || p_partkey AS product_name,
          p_type || '_' || p_brand AS category_id,
-         CASE WHEN p_partkey % 41 <> 0 THEN p_type END AS category,
-         CASE WHEN p_partkey % 41 <> 0 THEN p_brand END AS subcategory,
-         CASE WHEN p_partkey % 41 <> 0
-              THEN CASE p_partkey % 2 WHEN 0 THEN 'Yes' ELSE 'No' END END AS maintenance,
+         p_type AS category,
+         p_brand AS subcategory,
+         CASE p_partkey % 2 WHEN 0 THEN 'Yes' ELSE 'No' END AS maintenance,
          CAST((p_partkey * 7) % 2200 AS INTEGER) AS cost,
          p_type AS product_line,
          DATE '1994-01-01' AS start_date
   FROM part
-  WHERE p_partkey % 97 <> 0
 ),
 fact_sales AS (
   SELECT 'SO' || l_orderkey AS order_number,
          l_partkey AS product_key,
          o_custkey AS customer_key,
-         CASE WHEN l_orderkey % 500 <> 0 THEN CAST(o_orderdate AS DATE) END AS order_date,
+         CAST(o_orderdate AS DATE) AS order_date,
          CAST(l_shipdate AS DATE) AS shipping_date,
-         CASE WHEN l_orderkey % 500 <> 0 THEN CAST(CAST(o_orderdate AS DATE) + 12 AS DATE) END AS due_date,
+         CAST(CAST(o_orderdate AS DATE) + 12 AS DATE) AS due_date,
          CAST(floor(l_extendedprice / 200) AS INTEGER) AS sales_amount,
          CAST(l_quantity AS SMALLINT) AS quantity,
          CAST(floor(l_extendedprice / 200 / l_quantity) AS INTEGER) AS price
@@ -113,7 +106,7 @@ def ladder(x: str, op: str, steps: G.Ladder, otherwise: str) -> str:
     return f"CASE {rungs} ELSE {text(otherwise)} END"
 
 
-def performance(x: str, t: Thresholds) -> str:
+def performance(x: str, t: ProductLimits) -> str:
     high, mid, low = map(text, G.PERFORMANCE)
     return (
         f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < {t.product_mid_sales} THEN {low} "
@@ -122,11 +115,10 @@ def performance(x: str, t: Thresholds) -> str:
 
 
 def lifecycle(span: str, spent: str) -> str:
-    t = Thresholds()
     vip, regular, new = map(text, G.LIFECYCLE)
     return (
-        f"CASE WHEN coalesce({span}, 0) < {t.loyal_months} OR {spent} IS NULL THEN {new} "
-        f"WHEN {spent} > {t.vip_spending} THEN {vip} ELSE {regular} END"
+        f"CASE WHEN coalesce({span}, 0) < {G.LOYAL_MONTHS} OR {spent} IS NULL THEN {new} "
+        f"WHEN {spent} > {G.VIP_SPENDING} THEN {vip} ELSE {regular} END"
     )
 
 
@@ -314,8 +306,21 @@ report AS (
     )
 
 
-def _report_products(body: str) -> str:
-    lim = PRODUCT_LIMITS
+def _product_performance(lim: ProductLimits) -> str:
+    return query(
+        f"""
+SELECT {performance('sales', lim)} AS performance_segment,
+       count(product_key) AS total_products, {mean('sales')} AS avg_sales_per_product,
+       min(sales) AS min_sales, max(sales) AS max_sales,
+       {pct('count(product_key)', '(SELECT count(product_key) FROM g)')} AS product_percentage
+FROM g GROUP BY 1 ORDER BY 4 DESC""",
+        f"""
+g AS (SELECT p.product_key, p.product_name, p.category, {total('s.sales_amount')} AS sales
+      FROM fact_sales s LEFT JOIN dim_products p ON p.product_key = s.product_key GROUP BY ALL)""",
+    )
+
+
+def _report_products(body: str, lim: ProductLimits = REGISTERED_LIMITS) -> str:
     health = " ".join(
         f"WHEN {rule} THEN {text(label)}"
         for rule, label in zip(
@@ -593,17 +598,11 @@ SELECT {ladder('cost', '<', G.COST_BELOW, G.COST_OTHERWISE)} AS cost_range, coun
        {pct('count(*)', '(SELECT count(*) FROM dim_products)')} AS product_percentage
 FROM dim_products GROUP BY 1 ORDER BY min(cost)"""
     )
-    q["a13_product_performance"] = query(
-        f"""
-SELECT {performance('sales', PRODUCT_LIMITS)} AS performance_segment,
-       count(product_key) AS total_products, {mean('sales')} AS avg_sales_per_product,
-       min(sales) AS min_sales, max(sales) AS max_sales,
-       {pct('count(product_key)', '(SELECT count(product_key) FROM g)')} AS product_percentage
-FROM g GROUP BY 1 ORDER BY 4 DESC""",
-        f"""
-g AS (SELECT p.product_key, p.product_name, p.category, {total('s.sales_amount')} AS sales
-      FROM fact_sales s LEFT JOIN dim_products p ON p.product_key = s.product_key GROUP BY ALL)""",
-    )
+    for name, lim in (
+        ("a13_product_performance", REGISTERED_LIMITS),
+        ("a13d_product_performance_defaults", DEFAULT_LIMITS),
+    ):
+        q[name] = _product_performance(lim)
     q["a14_customer_lifecycle"] = query(
         f"""
 SELECT {lifecycle('lifespan', 'total_sales')} AS customer_segment,
@@ -617,6 +616,7 @@ FROM per_customer GROUP BY 1 ORDER BY 1 DESC""",
     # --- reports ---
     q["r01_report_customers"] = _report_customers("SELECT * FROM report")
     q["r02_report_products"] = _report_products("SELECT * FROM report")
+    q["r02d_report_products_defaults"] = _report_products("SELECT * FROM report", DEFAULT_LIMITS)
     q["r03_products_by_sales"] = _report_products(
         "SELECT * FROM report ORDER BY total_sales DESC NULLS LAST, product_key NULLS FIRST"
     )

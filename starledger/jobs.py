@@ -37,7 +37,7 @@ def _reload(table: str, loader: Callable[..., DataFrame]) -> Job:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         source, target = staging_path(spark), staging_path(spark)
         load_star(spark, folder).tables()[table].write.option("header", True).csv(source)
-        return loader(spark, source, target, long_keys=True)
+        return loader(spark, source, target, long_keys=True).drop(load.ORDER_YEAR)
 
     return run
 
@@ -84,9 +84,11 @@ JOBS: dict[str, Job] = {
     "a11_age_groups": _on_star(segmentation.age_groups, as_of=AS_OF),
     "a12_cost_ranges": _on_star(segmentation.cost_ranges),
     "a13_product_performance": _on_lines(segmentation.product_performance, limits=PRODUCT_LIMITS),
+    "a13d_product_performance_defaults": _on_lines(segmentation.product_performance),
     "a14_customer_lifecycle": _on_star(segmentation.customer_lifecycle),
     "r01_report_customers": _on_star(reports.report_customers, as_of=AS_OF),
     "r02_report_products": _on_star(reports.report_products, as_of=AS_OF, limits=PRODUCT_LIMITS),
+    "r02d_report_products_defaults": _on_star(reports.report_products, as_of=AS_OF),
     "r03_products_by_sales": _on_star(
         reports.products_by_sales, as_of=AS_OF, limits=PRODUCT_LIMITS
     ),

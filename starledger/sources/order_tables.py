@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from starledger.star import Star
 
-# Injected gaps, so that jobs meet unknown keys and missing values.
-UNKNOWN_CUSTOMER_EVERY = 89
-UNKNOWN_PRODUCT_EVERY = 97
-NO_FIRST_NAME_EVERY = 70
-NO_BIRTHDATE_EVERY = 50
-NO_CATEGORY_EVERY = 41
-NO_ORDER_DATE_EVERY = 500
-
 # Declared, so that opening a table costs no job to look for its schema.
 COLUMNS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int",
@@ -45,28 +37,21 @@ def load_star(spark: SparkSession, folder: str, with_orders: bool = True) -> Sta
     )
 
 
-def _unless_every(key: Column, n: int, value: Column) -> Column:
-    return F.when(key % n != 0, value)
-
-
 def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("c_name")
     birthdate = F.date_add(F.lit("1940-01-01").cast("date"), (key * 137 % 24000).cast("int"))
     return (
-        customer.where(key % UNKNOWN_CUSTOMER_EVERY != 0)
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             key.alias("customer_key"),
             (key + 11000).alias("customer_id"),
             name.alias("customer_number"),
-            _unless_every(key, NO_FIRST_NAME_EVERY, F.split_part(name, F.lit("#"), F.lit(1))).alias(
-                "first_name"
-            ),
+            F.split_part(name, F.lit("#"), F.lit(1)).alias("first_name"),
             F.split_part(name, F.lit("#"), F.lit(2)).alias("last_name"),
             F.col("n_name").alias("country"),
             F.when(key % 2 == 0, "Married").otherwise("Single").alias("marital_status"),
             F.when(key % 3 == 0, "Male").when(key % 3 == 1, "Female").otherwise("n/a").alias("gender"),
-            _unless_every(key, NO_BIRTHDATE_EVERY, birthdate).alias("birthdate"),
+            birthdate.alias("birthdate"),
             F.lit("1994-01-01").cast("date").alias("create_date"),
         )
     )
@@ -74,19 +59,15 @@ def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 def _products(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-
-    def classified(value: Column) -> Column:
-        return _unless_every(key, NO_CATEGORY_EVERY, value)
-
-    return part.where(key % UNKNOWN_PRODUCT_EVERY != 0).select(
+    return part.select(
         key.alias("product_key"),
         (key + 210).alias("product_id"),
         F.concat(F.lit("P-"), key).alias("product_number"),
         F.concat("p_name", F.lit(" "), key).alias("product_name"),
         F.concat("p_type", F.lit("_"), "p_brand").alias("category_id"),
-        classified(F.col("p_type")).alias("category"),
-        classified(F.col("p_brand")).alias("subcategory"),
-        classified(F.when(key % 2 == 0, "Yes").otherwise("No")).alias("maintenance"),
+        F.col("p_type").alias("category"),
+        F.col("p_brand").alias("subcategory"),
+        F.when(key % 2 == 0, "Yes").otherwise("No").alias("maintenance"),
         (key * 7 % 2200).cast("int").alias("cost"),
         F.col("p_type").alias("product_line"),
         F.lit("1994-01-01").cast("date").alias("start_date"),
@@ -106,9 +87,7 @@ def _line_columns() -> list[Column]:
 
 def _sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per order line; a line without its order stays, undated."""
-    order_date = _unless_every(
-        F.col("l_orderkey"), NO_ORDER_DATE_EVERY, F.col("o_orderdate").cast("date")
-    )
+    order_date = F.col("o_orderdate").cast("date")
     number, product, shipped, *amounts = _line_columns()
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         number,

@@ -6,25 +6,35 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, differences
+from checks.oracle import oracle_queries
+from starledger.jobs import JOBS
+from starledger.sources.order_tables import load_star
 from tests.conftest import SMALL
 
-SQL = entry.oracle_sql()
-JOBS = entry.queries()
+SQL = oracle_queries()
 
 
 @pytest.fixture(scope="module")
 def skewed(tmp_path_factory):
     """The small tables with one customer, one product, one order and one day each
-    holding a third of the rows, ties everywhere, and facts about unknown keys."""
+    holding a third of the rows, ties everywhere, facts about unknown keys, and
+    missing members, names, categories, countries and order dates."""
     folder = tmp_path_factory.mktemp("skewed")
     connection = connect(SMALL)
     shutil.copy(f"{SMALL}/nation.parquet", folder)
     copies = {
-        "customer": "SELECT * REPLACE (CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE c_nationkey END AS c_nationkey) FROM customer",
-        "part": "SELECT * REPLACE (CASE WHEN p_partkey % 3 = 0 THEN 'PROMO' ELSE p_type END AS p_type) FROM part",
+        "customer": """SELECT * REPLACE (
+            CASE WHEN c_custkey % 3 = 0 THEN 4 WHEN c_custkey % 50 = 1 THEN NULL ELSE c_nationkey END AS c_nationkey,
+            CASE WHEN c_custkey % 70 <> 0 THEN c_name END AS c_name) FROM customer
+            WHERE c_custkey % 89 <> 0""",
+        "part": """SELECT * REPLACE (
+            CASE WHEN p_partkey % 41 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'PROMO' ELSE p_type END AS p_type,
+            CASE WHEN p_partkey % 41 <> 0 THEN p_brand END AS p_brand) FROM part
+            WHERE p_partkey % 97 <> 0""",
         "orders": """SELECT * REPLACE (
             CASE o_orderkey % 6 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 999999 WHEN 3 THEN NULL ELSE o_custkey END AS o_custkey,
-            CASE WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '1999-12-31' ELSE o_orderdate END AS o_orderdate) FROM orders
+            CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '1999-12-31'
+                 ELSE o_orderdate END AS o_orderdate) FROM orders
             WHERE o_orderkey % 50 <> 49""",
         "lineitem": """SELECT * REPLACE (
             CASE WHEN l_linenumber % 3 = 0 THEN 5 WHEN l_orderkey % 7 = 0 THEN NULL
@@ -37,8 +47,18 @@ def skewed(tmp_path_factory):
     return str(folder)
 
 
-def test_every_job_has_its_sql():
+def test_every_job_is_registered_and_has_its_sql():
     assert set(JOBS) == set(SQL)
+    assert set(JOBS) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_every_row_of_the_tables_is_read(spark):
+    """The star derived from the tables leaves nothing out and blanks nothing."""
+    star, tables = load_star(spark, SMALL), connect(SMALL)
+    for ours, theirs in (("customers", "customer"), ("products", "part"), ("sales", "lineitem")):
+        frame = getattr(star, ours)
+        assert frame.count() == tables.execute(f"SELECT count(*) FROM {theirs}").fetchone()[0]
+        assert frame.dropna().count() == frame.count()
 
 
 @pytest.mark.parametrize("name", JOBS)
