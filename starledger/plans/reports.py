@@ -24,7 +24,7 @@ from starledger.functions.semantics import (
 from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.members import additive_by_member, describe_member, resolve_member
 from starledger.operators.ranking import SlicedOrder, rank_values, top_n
-from starledger.star import Star
+from starledger.star import Star, dated_sales
 
 # --- fixed values: report columns, in order -----------------------------------
 
@@ -71,7 +71,7 @@ def customer_metrics(star: Star, diversity: bool = True) -> DataFrame:
     distinct = {"total_orders": "order_number"}
     if diversity:
         distinct["total_products"] = "product_key"
-    dated = star.sales.where(F.col("order_date").isNotNull())
+    dated = dated_sales(star.sales)
     metrics = aggregate_distinct_apart(
         resolve_member(dated, star.customers, "customer_key"),
         "customer_key",
@@ -265,3 +265,18 @@ def create_views(star: Star, as_of: date | None = None, limits: Thresholds = Thr
         table.createOrReplaceTempView(name)
     report_customers(star, as_of, limits).createOrReplaceTempView("report_customers")
     report_products(star, as_of, limits).createOrReplaceTempView("report_products")
+
+
+def refresh_report_tables(
+    star: Star, schema: str = "gold", as_of: date | None = None, limits: Thresholds = Thresholds()
+) -> None:
+    """Write both reports as tables of ``schema``, in place of those that are there.
+
+    The tables show the state at the time of the call: call it again after a load, or when
+    the day changes.
+    """
+    spark = star.sales.sparkSession
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    for name, report in (("report_customers", report_customers), ("report_products", report_products)):
+        table = report(star, as_of, limits)
+        table.write.mode("overwrite").format("parquet").saveAsTable(f"{schema}.{name}")

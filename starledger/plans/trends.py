@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from starledger.functions.semantics import asc, int_avg, month_start
 from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.periods import sign_label, timeline, with_change
-from starledger.star import Star
+from starledger.star import Star, dated_sales
 
 
 def _dated(star: Star) -> DataFrame:
-    return star.sales.where(F.col("order_date").isNotNull())
+    return dated_sales(star.sales)
 
 
 def _by_month(star: Star) -> DataFrame:

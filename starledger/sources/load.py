@@ -2,27 +2,44 @@
 
 A load replaces its target. A row is bad when a field does not convert, a field
 is missing or left over, a text is longer than 50 characters, or a quantity
-does not fit an unsigned byte. Up to ``max_errors`` bad rows are skipped; more
-than that fail the load and leave the target empty.
+does not fit an unsigned byte; so is a blank line. Bad rows are written aside first, and
+what was written is counted: the load is judged before its target is touched with rows, and a
+task that runs twice counts once. Up to ``max_errors`` bad rows are skipped, with a
+warning that says where they are kept; more than that fail the load and leave the target
+empty.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.sources import schema as S
+from starledger.sources.staging import staging_path
 
 BAD_LINE = "_bad_line"
 ORDER_YEAR = "order_year"
 
 
 class LoadError(Exception):
-    """A load that left its target empty."""
+    """A load that left its target empty. ``bad_rows`` are kept in ``rejects``."""
+
+    def __init__(self, message: str, bad_rows: int = 0, rejects: str | None = None):
+        super().__init__(message)
+        self.bad_rows, self.rejects = bad_rows, rejects
+
+
+class SkippedRows(UserWarning):
+    """Bad rows that a load left out: ``bad_rows`` of them, kept in ``rejects``."""
+
+    def __init__(self, message: str, bad_rows: int, rejects: str):
+        super().__init__(message)
+        self.bad_rows, self.rejects = bad_rows, rejects
 
 
 def load_customers(spark: SparkSession, source: str, target: str, **options) -> DataFrame:
@@ -34,7 +51,7 @@ def load_products(spark: SparkSession, source: str, target: str, **options) -> D
 
 
 def load_sales(spark: SparkSession, source: str, target: str, **options) -> DataFrame:
-    """The fact table, stored by order year.
+    """The fact table, stored by order year; a filter on ``order_year`` reads those years only.
 
     The rebalance hint lets AQE cut a large year into several files and put
     small ones together, so neither a dominant year nor unsorted input decides
@@ -57,35 +74,47 @@ def _load(
     """Load ``source`` (file, folder or glob) and return the stored table.
 
     ``target`` is a path, or a catalog table as ``schema.table``. ``rejects``
-    names a folder for the text of skipped rows.
+    names a folder for the text of bad rows, by default one in the staging folder.
     """
     schema = S.with_long_keys(schema) if long_keys else schema
     parsed = read_delimited(spark, source, schema).withColumn("_bad", _is_bad(schema))
-    counted = Observation()
-    good = (
-        parsed.observe(counted, F.count_if("_bad").alias("bad_rows"))
-        .where(~F.col("_bad"))
-        .select(*schema.names)
-    )
+    good = parsed.where(~F.col("_bad")).select(*schema.names)
     if partition_by_year:
-        good = good.withColumn(ORDER_YEAR, F.year("order_date")).hint("rebalance", ORDER_YEAR)
-    _replace(good, target, partition_by_year)
+        good = good.withColumn(ORDER_YEAR, F.year("order_date"))
 
-    bad_rows = counted.get["bad_rows"]
+    rejects = rejects or staging_path(spark)
+    bad_rows = _keep_bad_rows(parsed, _blank_lines(spark, source), rejects, schema)
+    refusal = None
     if bad_rows > max_errors:
-        _truncate(good, target, partition_by_year)
-        raise LoadError(f"{bad_rows} bad rows in {source}, at most {max_errors} allowed")
-    if bad_rows and rejects is not None:
-        parsed.where("_bad").select(BAD_LINE, *schema.names).write.mode("overwrite").json(rejects)
-
-    stored = _stored(spark, target).select(*schema.names)
-    if key is not None:
-        repeated = stored.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+        refusal = f"{bad_rows} bad rows in {source}, at most {max_errors} allowed"
+    elif key is not None:
+        repeated = good.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
         example = repeated.limit(1).collect()
         if example:
-            _truncate(good, target, partition_by_year)
-            raise LoadError(f"{key} {example[0][key]} occurs {example[0]['count']} times in {source}")
-    return stored
+            refusal = f"{key} {example[0][key]} occurs {example[0]['count']} times in {source}"
+    if refusal is not None:
+        _replace(good.limit(0), target, partition_by_year)
+        raise LoadError(refusal, bad_rows, rejects)
+
+    spread = good.hint("rebalance", ORDER_YEAR) if partition_by_year else good
+    _replace(spread, target, partition_by_year)
+    if bad_rows:
+        message = f"{bad_rows} bad rows of {source} were skipped; they are in {rejects}"
+        warnings.warn(SkippedRows(message, bad_rows, rejects), stacklevel=3)
+    return _stored(spark, target, good.schema)
+
+
+def _blank_lines(spark: SparkSession, source: str) -> DataFrame:
+    """Lines without any text, which the delimited reader passes over."""
+    return spark.read.text(source).where(F.trim("value") == "").select(F.col("value").alias(BAD_LINE))
+
+
+def _keep_bad_rows(parsed: DataFrame, blank: DataFrame, folder: str, schema: T.StructType) -> int:
+    """Write the bad rows to ``folder`` and count what was written."""
+    bad = parsed.where("_bad").select(BAD_LINE, *schema.names)
+    bad = bad.unionByName(blank, allowMissingColumns=True)
+    bad.write.mode("overwrite").json(folder)
+    return parsed.sparkSession.read.schema(f"{BAD_LINE} string").json(folder).count()
 
 
 def read_delimited(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
@@ -133,9 +162,8 @@ def _replace(df: DataFrame, target: str, partition_by_year: bool) -> None:
     writer.saveAsTable(target)
 
 
-def _truncate(df: DataFrame, target: str, partition_by_year: bool) -> None:
-    _replace(df.limit(0), target, partition_by_year)
-
-
-def _stored(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target) if _is_path(target) else spark.table(target)
+def _stored(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """With the declared schema: a target without rows may hold no file to read one from."""
+    if not _is_path(target):
+        return spark.table(target)
+    return spark.read.schema(schema).parquet(target)

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def dated_sales(sales: DataFrame) -> DataFrame:
+    """Facts with an order date. Facts stored by year skip the folder of those without."""
+    dated = sales.where(F.col("order_date").isNotNull())
+    return dated.where(F.col("order_year").isNotNull()) if "order_year" in sales.columns else dated
+
+
 @dataclass(frozen=True)
 class Star:
     """Two dimensions and one fact, as DataFrames.

@@ -205,6 +205,24 @@ def test_views(spark, star):
     assert spark.sql("SELECT count(*) AS n FROM report_customers").head().n == 2
 
 
+def test_report_tables_are_refreshed(spark, star):
+    """Both sample queries of the README, over tables that a refresh replaces."""
+    for _ in range(2):
+        reports.refresh_report_tables(star, as_of=AS_OF)
+    best = spark.sql(
+        "SELECT product_name, category, total_sales FROM gold.report_products"
+        " ORDER BY total_sales DESC LIMIT 10"
+    )
+    assert best.head().product_name == "bike"
+    risky = spark.sql(
+        "SELECT full_name, customer_lifetime_value, recency_months FROM gold.report_customers"
+        " WHERE engagement_status = 'At Risk' AND value_tier = 'High Value'"
+    )
+    assert risky.columns == ["full_name", "customer_lifetime_value", "recency_months"]
+    assert spark.table("gold.report_customers").count() == 2
+    spark.sql("DROP SCHEMA gold CASCADE")
+
+
 ALL = [
     exploration.business_timeframe,
     exploration.customer_ages,

@@ -1,10 +1,13 @@
+import re
 from datetime import date
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from starledger.sources import load, schema
 from starledger.sources.catalog import catalog_columns, catalog_tables, column_counts
+from starledger.star import dated_sales
 
 HEADER = ",".join(schema.DIM_PRODUCTS.names)
 BELL = "1,10,P-1,bell,B_b,Parts,Bells,Yes,5,Road,2010-01-01"
@@ -89,15 +92,72 @@ def test_sales_by_year_and_quantity_range(spark, tmp_path):
     source = write(tmp_path, "s.csv", header, *lines, "SO9,1,2,,,,100,1,5")
     target = tmp_path / "sales"
     got = load.load_sales(spark, source, str(target))
-    assert got.columns == schema.FACT_SALES.names
+    assert got.columns == [*schema.FACT_SALES.names, load.ORDER_YEAR]
     assert sorted(r.quantity for r in got.collect()) == [0, 1, 255]
     assert sorted(p.name for p in target.glob("order_year=*")) == [
         "order_year=2010",
         "order_year=2011",
         "order_year=__HIVE_DEFAULT_PARTITION__",
     ]
-    pruned = spark.read.parquet(str(target)).where("order_year = 2011")
+    pruned = got.where("order_year = 2011")
     assert pruned.count() == 1
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*order_year", plan)
+    dated = dated_sales(got)
+    plan = dated._jdf.queryExecution().executedPlan().toString()
+    assert dated.count() == 2 and re.search(r"PartitionFilters: \[isnotnull\(order_year", plan)
+
+
+SALES_HEADER = ",".join(schema.FACT_SALES.names)
+GOOD_SALE, BAD_SALE = "SO1,1,2,2010-05-01,,,100,1,5", "SO2,one,2,2010-05-01,,,100,1,5"
+
+
+@pytest.fixture(params=["path", "catalog"])
+def sales_target(request, spark, tmp_path):
+    yield str(tmp_path / "sales") if request.param == "path" else "loads.sales"
+    spark.sql("DROP SCHEMA IF EXISTS loads CASCADE")
+
+
+def stored_rows(spark, target):
+    if "/" not in target:
+        return spark.table(target).count()
+    declared = T.StructType([*schema.FACT_SALES.fields, T.StructField(load.ORDER_YEAR, T.IntegerType())])
+    return spark.read.schema(declared).parquet(target).count()
+
+
+@pytest.mark.parametrize(
+    ("lines", "loaded"),
+    [([], 0), ([BAD_SALE] * 2, 0), ([BAD_SALE] * 11, None), ([GOOD_SALE, *[BAD_SALE] * 11], None)],
+)
+@pytest.mark.filterwarnings("ignore::starledger.sources.load.SkippedRows")
+def test_sales_without_good_rows(spark, tmp_path, sales_target, lines, loaded):
+    first = write(tmp_path, "first.csv", SALES_HEADER, GOOD_SALE)
+    assert load.load_sales(spark, first, sales_target).count() == 1
+    source = write(tmp_path, "s.csv", SALES_HEADER, *lines)
+    if loaded is None:
+        with pytest.raises(load.LoadError, match="11 bad rows") as refused:
+            load.load_sales(spark, source, sales_target)
+        assert spark.read.json(refused.value.rejects).count() == refused.value.bad_rows == 11
+    else:
+        assert load.load_sales(spark, source, sales_target).count() == loaded
+    assert stored_rows(spark, sales_target) == 0
+
+
+def test_skipped_rows_are_told_and_kept(spark, tmp_path):
+    """Blank lines are bad rows too, and no folder has to be named to find them all."""
+    source = write(tmp_path, "s.csv", SALES_HEADER, GOOD_SALE, "", BAD_SALE, "   ", GOOD_SALE)
+    with pytest.warns(load.SkippedRows) as told:
+        got = load.load_sales(spark, source, str(tmp_path / "sales"))
+    assert got.count() == 2
+    skipped = told[0].message
+    assert skipped.bad_rows == 3 and skipped.rejects in str(skipped)
+    kept = spark.read.json(skipped.rejects)
+    assert sorted(r[load.BAD_LINE].strip() for r in kept.collect()) == ["", "", BAD_SALE]
+
+
+def test_nothing_is_told_without_bad_rows(spark, tmp_path, recwarn):
+    products(spark, tmp_path, BELL)
+    assert not [w for w in recwarn if w.category is load.SkippedRows]
 
 
 def test_catalog_target(spark, tmp_path):
