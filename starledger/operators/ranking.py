@@ -31,17 +31,12 @@ def top_ranked(df: DataFrame, value: str, ranks: int, rank_name: str) -> DataFra
 def rank_values(df: DataFrame, value: str, rank_name: str) -> DataFrame:
     """Dense rank of a per-group count, largest first, through its distinct values.
 
-    For counts that add up to at most the number F of facts: ``d`` distinct
-    positive counts add up to at least ``d * (d + 1) / 2``, so no more than
-    sqrt(2 F) values exist (4.5 million over ten trillion facts). That bounds the
-    window over them and the table to broadcast.
+    The values are ranked in slices, and Spark's own size check decides how they join.
     """
-    values = df.select(F.col(value).alias("_value")).distinct()
-    ranked = values.select(
-        "_value", F.dense_rank().over(Window.orderBy(*desc("_value"))).cast("long").alias(rank_name)
-    )
+    values = df.select(F.col(value).alias("value")).distinct()
+    ranked = SlicedOrder(values, "value", []).ranked(rank_name).withColumnRenamed("value", "_value")
     same = F.col(value).eqNullSafe(F.col("_value"))
-    return df.join(F.broadcast(ranked), same, "left").drop("_value")
+    return df.join(ranked, same, "left").drop("_value")
 
 
 class SlicedOrder:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.semantics import asc, dense_rank_desc, desc, percent
 from starledger.operators.members import additive_by_attributes
 from starledger.operators.ranking import SlicedOrder
-from starledger.operators.totals import over_groups
+from starledger.operators.totals import over_groups, over_members
+from starledger.sources.staging import stage
 from starledger.star import Star
 
 
@@ -36,8 +37,11 @@ def category_contribution(star: Star) -> DataFrame:
 
 
 def subcategory_contribution(star: Star) -> DataFrame:
-    """Share of all sales and of the category's sales."""
-    grouped = (
+    """Share of all sales and of the category's sales.
+
+    The groups are written out, so that both totals come from them and not from the facts again.
+    """
+    grouped = stage(
         _sold(star, "category", "subcategory")
         .groupBy("category", "subcategory")
         .agg(
@@ -45,13 +49,15 @@ def subcategory_contribution(star: Star) -> DataFrame:
             F.count_distinct("order_number").alias("total_orders"),
         )
     )
-    sales = F.col("subcategory_sales")
-    category_sales = F.sum(sales).over(Window.partitionBy("category"))
-    return grouped.select(
-        "*",
-        over_groups("subcategory_sales").alias("total_sales"),
-        percent(sales, over_groups("subcategory_sales")).alias("sales_percentage"),
-        percent(sales, category_sales).alias("category_percentage"),
+    sales, total = F.col("subcategory_sales"), over_members(grouped, "subcategory_sales")
+    by_category = grouped.groupBy(F.col("category").alias("_category")).agg(
+        F.sum("subcategory_sales").alias("_category_sales")
+    )
+    return grouped.join(by_category, F.col("category").eqNullSafe(F.col("_category"))).select(
+        *grouped.columns,
+        total.alias("total_sales"),
+        percent(sales, total).alias("sales_percentage"),
+        percent(sales, F.col("_category_sales")).alias("category_percentage"),
     ).orderBy(*desc("subcategory_sales"), *asc("category", "subcategory"))
 
 

@@ -20,7 +20,7 @@ from starledger.functions.semantics import (
     subject_name,
     years_between,
 )
-from starledger.operators.distinct import aggregate_distinct_apart
+from starledger.operators.distinct import aggregate_distinct_apart, count_distinct_of_best
 from starledger.operators.members import additive_by_attributes, describe_member, resolve_member
 from starledger.operators.ranking import top_n, top_ranked
 from starledger.operators.totals import over_groups, over_members, with_total_row
@@ -304,8 +304,28 @@ def _named(best: DataFrame, star: Star) -> DataFrame:
 
 
 def top_customers(star: Star, n: int = 10) -> DataFrame:
+    """Ranked by sums first; orders are counted for the winners only."""
     order = [*desc("total_sales"), *asc("customer_key")]
-    named = _named(top_n(_per_customer(star), n, *order), star)
+    by_key = star.sales.groupBy(F.col("customer_key").alias("sold_key")).agg(
+        F.sum("sales_amount").alias("sales"), F.count("sales_amount").alias("amounts")
+    )
+    keyed = resolve_member(
+        by_key.withColumn("customer_key", F.col("sold_key")), star.customers, "customer_key"
+    )
+    totals = keyed.groupBy("customer_key").agg(
+        F.sum("sales").alias("total_sales"),
+        int_div(F.sum("sales"), F.sum("amounts")).alias("avg_transaction_value"),
+    )
+    best = count_distinct_of_best(
+        top_n(totals, n, *order),
+        keyed,
+        star.sales.withColumnRenamed("customer_key", "sold_key"),
+        "sold_key",
+        ["customer_key"],
+        "order_number",
+        "total_orders",
+    )
+    named = _named(best, star)
     return named.select(
         "customer_key", *CUSTOMER_NAMES, "total_sales", "total_orders", "avg_transaction_value"
     ).orderBy(*order)
@@ -321,14 +341,25 @@ def least_frequent_customers(star: Star, n: int = 10) -> DataFrame:
 
 
 def top_products(star: Star, n: int = 10) -> DataFrame:
-    """Products by name, so the names meet the facts before the distinct count."""
-    sold = star.sales.join(star.products.select("product_key", *PRODUCT_NAMES), "product_key", "left")
-    per_product = sold.groupBy(*PRODUCT_NAMES).agg(
-        F.sum("sales_amount").alias("total_sales"),
-        F.sum("quantity").alias("total_quantity_sold"),
-        F.count_distinct("order_number").alias("total_orders"),
+    """Products by name, ranked by sums first; orders are counted for the winners only."""
+    order = [*desc("total_sales"), *asc(*PRODUCT_NAMES)]
+    by_key = star.sales.groupBy("product_key").agg(
+        F.sum("sales_amount").alias("sales"), F.sum("quantity").alias("quantity")
+    )
+    keyed = by_key.join(star.products.select("product_key", *PRODUCT_NAMES), "product_key", "left")
+    totals = keyed.groupBy(*PRODUCT_NAMES).agg(
+        F.sum("sales").alias("total_sales"), F.sum("quantity").alias("total_quantity_sold")
+    )
+    best = count_distinct_of_best(
+        top_n(totals, n, *order),
+        keyed,
+        star.sales,
+        "product_key",
+        PRODUCT_NAMES,
+        "order_number",
+        "total_orders",
     )
-    return top_n(per_product, n, *desc("total_sales"), *asc(*PRODUCT_NAMES))
+    return best.orderBy(*order)
 
 
 def top_products_ranked(star: Star, ranks: int = 10) -> DataFrame:
@@ -383,7 +414,7 @@ def _per_subcategory(star: Star) -> DataFrame:
 def top_subcategories(star: Star, n: int = 10) -> DataFrame:
     grouped = _per_subcategory(star)
     shared = grouped.withColumn(
-        "sales_percentage", percent(F.col("total_sales"), over_groups("total_sales"))
+        "sales_percentage", percent(F.col("total_sales"), over_members(grouped, "total_sales"))
     )
     return top_n(shared, n, *desc("total_sales"), *asc("subcategory", "category"))
 
