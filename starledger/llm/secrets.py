@@ -10,7 +10,6 @@ Null text is empty text: no span. Positions count code points, ends are exclusiv
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -59,7 +58,8 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "<", "${",
 
 # --- lexing --------------------------------------------------------------------
 
-NAME = r"[A-Za-z_][\w.-]*+"
+#: From its first character on, so that a long run of word characters is read once.
+NAME = r"(?<![\w.-])[A-Za-z_][\w.-]*+"
 #: name, assignment sign, then literals and names joined by "+"; in source,
 #: configuration and object notation alike. The literal may stand bare.
 PAIR = re.compile(
@@ -189,7 +189,3 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(scan, SCHEMA)
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
