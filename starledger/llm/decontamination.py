@@ -124,8 +124,8 @@ def find_overlaps(
     aligned = (
         hits.alias("h")
         .join(texts.alias("t"), F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")))
-        .join(tests, "item_id")
-        .select("h.doc_id", "item_id", "first_word", "words", "item", "shift")
+        .join(tests.alias("i"), F.col("h.item_id").eqNullSafe(F.col("i.item_id")))
+        .select("h.doc_id", "h.item_id", "first_word", "words", "item", "shift")
         .where((F.size("words") > F.col("shift")) & (F.size("item") > -F.col("shift")))
     )
     size = F.size("item")

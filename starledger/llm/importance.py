@@ -129,9 +129,9 @@ def resample(
     ``share`` of the rows is kept; by default as large a share as the target has among labelled rows.
     """
     judged = stage(
-        labels.groupBy(F.col(id_col).cast("long").alias("_id")).agg(
-            F.max(F.coalesce(F.expr(target), F.lit(False))).alias("wanted")
-        )
+        labels.where(F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).cast("long").alias("_id"))
+        .agg(F.max(F.coalesce(F.expr(target), F.lit(False))).alias("wanted"))
     )
     n_judged, n_wanted = judged.agg(F.count("*"), F.count_if("wanted")).first()
     wanted = judged.where("wanted").select("_id")

@@ -103,7 +103,7 @@ def test_near_lines_share_an_entry(spark, threshold):
         pairs.append((a, edited(a, rng, rng.randint(0, threshold))))
     frame = spark.createDataFrame(pairs, "a string, b string")
     both = F.arrays_overlap(
-        line_dedup.entries(F.col("a"), threshold), line_dedup.entries(F.col("b"), threshold)
+        *(line_dedup.entries(F.col(c), F.length(c), threshold) for c in ("a", "b"))
     )
     for r in frame.select("a", "b", both.alias("both")).collect():
         assert r["both"] or distance(r["a"], r["b"]) > threshold
