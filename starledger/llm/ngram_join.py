@@ -10,14 +10,18 @@ Within a band of sizes, d is fixed by the largest a and k exceeds d, so at least
 one non-empty block is equal: blocks are the join keys (pigeonhole), and
 pairs that share a key are verified on their whole sets.
 
+Pairs whose bit sketches (parities of hashed positions) differ in more bits than the threshold
+allows are dropped before that: the Hamming distance is a lower bound of the symmetric difference, too.
+
 How nothing is lost where keys are crowded: a class with m non-empty blocks agrees with any partner
 in m - d of them. Keys shared by more than ``CROWD`` classes are left out by those classes that
 have at most m - d - 1 such keys, which leaves an agreeing key; other
 classes keep all of theirs (true groups of near copies do). A class with m <= d gets one more key
-of its band, the only case in which just empty blocks may agree. Within a key the class that shares
-most with others is compared with all, then members that are still in different components are
-compared with twice as many pivots in each round, until every pair of a key is
-compared or connected. So all components are exact without all pairs of a group.
+of its band, the only case in which just empty blocks may agree. The pivot of a key, the class that shares most with others, is compared
+with all its members (a star). Stars whose members are then still in different components are
+compared chunk by chunk inside tasks, and only pairs of different components that
+their sketches allow are verified. So every pair of a key is verified, ruled out or already
+connected, and all components are exact without the pairs of a group as rows.
 
 Null text and text without words: an empty set, linked with nothing. Rows
 without an id are not linked. Repeated rows are copies of one document. Set elements
@@ -38,6 +42,8 @@ from starledger.llm.text_hashes import BASE, mix64, text_bytes, word_hashes
 from starledger.sources.staging import stage
 
 CROWD = 64
+CHUNK = 1024
+SLICE_BYTES = 1024  # of bit sketches that are unpacked at a time
 BAND_RATIO = 1.5
 BROADCAST_ROWS = 500_000
 
@@ -101,11 +107,26 @@ def sketch_keys(shingles: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarr
     return (keys & ~low) | np.uint64(band), len(full) - d - 1
 
 
-SETS = "doc_id long, n long, h long, band long, spare long, spare_before long, keys array<long>"
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """A bit sketch: bit i is the parity of the shingles that hash to i.
+
+    Of a power of two bits, four a shingle or more, so few shingles meet. Halves can be XORed to
+    get the sketch with half as many bits. Two sketches differ in at most as many bits
+    as shingles that only one of the sets has.
+    """
+    bits = 1 << max(8, (4 * len(shingles) - 1).bit_length())
+    place = (mix64(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+SETS = (
+    "doc_id long, n long, h long, band long, spare long, spare_before long, keys array<long>,"
+    " bits binary"
+)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Set size, class (hash of the set), spare keys and keys of every document.
+    """Set size, class (hash of the set), spare keys, keys and bit sketch of every document.
 
     A task gives the keys of a class once, with the first of its documents.
     """
@@ -116,7 +137,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingle_set(text_bytes(text), words)
-                row = [doc_id, len(found), _class_of(found), None, None, None, None]
+                row = [doc_id, len(found), _class_of(found), None, None, None, None, None]
                 if not len(found):
                     row[2] = None
                 elif doc_id is not None and row[2] not in told:
@@ -128,9 +149,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                         row[3] = bands.of(len(found))[0]
                         row[4], row[5] = made[0][1], made[-1][1]
                         row[6] = np.concatenate([keys for keys, _ in made]).view(np.int64)
+                        row[7] = bit_sketch(found)
                 rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                 [f.split()[0] for f in SETS.split(", ")],
@@ -160,42 +182,50 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 # --- components ----------------------------------------------------------------
 
 
-def connect(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """(h, label) for every node of (a, b) edges: the smallest node of its component.
 
     Smallest labels travel along edges and labels are replaced by their own label,
-    until none changes; every step is written out. ``labels`` are known already.
+    until none changes; every step is written out.
     """
-    both = stage(edges.union(edges.select("b", "a")).toDF("a", "b").distinct())
-    nodes = both.select(F.col("a").alias("h")).distinct()
-    if labels is None:
-        now = nodes.withColumn("label", F.col("h"))
-    else:
-        now = nodes.join(labels, "h", "full").select("h", F.coalesce("label", "h").alias("label"))
-        kept = labels.where("label <> h").select(F.col("h").alias("a"), F.col("label").alias("b"))
-        both = both.union(kept).union(kept.select("b", "a"))
-    now = stage(now)
+    both = stage(edges.union(edges.select("b", "a")).toDF("a", "b"))
+    now = stage(
+        both.groupBy(F.col("a").alias("h")).agg(F.min("b").alias("label"))
+        .withColumn("label", F.least("h", "label"))
+    )
     while True:
-        heard = stage(
-            both.join(now, both["a"] == now["h"]).groupBy("b").agg(F.min("label").alias("heard"))
-        )
+        heard = both.join(now, both["b"] == now["h"]).groupBy("a").agg(F.min("label").alias("heard"))
         lower = stage(
-            now.join(heard, now["h"] == heard["b"], "left").select(
-                "h", F.least("label", F.coalesce("heard", "label")).alias("next"), "label"
+            now.join(heard, now["h"] == heard["a"]).select(
+                "h", F.least("label", "heard").alias("next"), "label"
             )
         )
         up = lower.select(F.col("h").alias("next"), F.col("next").alias("upper"))
-        jumped = stage(
-            lower.join(up, "next", "left").select(
-                "h", F.coalesce("upper", "next").alias("next"), "label"
-            )
-        )
-        changed = jumped.where("next <> label").limit(1).count()
+        jumped = stage(lower.join(up, "next").select("h", F.col("upper").alias("next"), "label"))
+        changed = not jumped.where("next <> label").isEmpty()
         now = jumped.select("h", F.col("next").alias("label"))
         if not changed:
             return now
 
 
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after more edges: only the components that the edges join are connected anew."""
+    own = labels.withColumnRenamed("h", "node")
+    between = (
+        edges.join(own.toDF("a", "left"), "a", "left")
+        .join(own.toDF("b", "right"), "b", "left")
+        .select(F.coalesce("left", "a").alias("a"), F.coalesce("right", "b").alias("b"))
+    )
+    joined = connect(between.where("a <> b").distinct())
+    joined = joined.select(F.col("h").alias("label"), F.col("label").alias("lower"))
+    new = joined.select(F.col("label").alias("h"), F.col("lower").alias("label"))
+    return stage(
+        labels.join(joined, "label", "left")
+        .select("h", F.coalesce("lower", "label").alias("label"))
+        .union(new.join(labels, "h", "left_anti"))
+    )
+
+
 def _shared_keys(sets: DataFrame) -> DataFrame:
     """(key, h, crowd) for keys of more than one class, crowded ones left out where allowed."""
     told = sets.where("keys IS NOT NULL")
@@ -224,8 +254,8 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
     return stage(shared.where(F.col("crowd") <= CROWD).union(kept))
 
 
-def _first_pairs(keys: DataFrame) -> DataFrame:
-    """Members of each key against its pivot: the class that shares most with others."""
+def _stars(keys: DataFrame) -> DataFrame:
+    """(pivot, h): the members of the keys of each pivot, the class that shares most with others."""
     weight = stage(keys.groupBy("h").agg(F.sum("crowd").alias("weight")))
     pivots = stage(
         keys.join(weight, "h")
@@ -233,12 +263,41 @@ def _first_pairs(keys: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("weight", "h")).alias("pivot"))
         .select("key", F.col("pivot.h").alias("pivot"))
     )
-    return (
-        keys.join(pivots, "key")
-        .where("h <> pivot")
-        .select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"))
-        .distinct()
-    )
+    return keys.join(pivots, "key").where("h <> pivot").select("pivot", "h").distinct()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch of ``size`` bytes from one of a multiple of it."""
+    whole = np.frombuffer(bits, np.uint8).reshape(-1, size)
+    return np.bitwise_xor.reduce(whole, axis=0)
+
+
+def near_enough(sizes_a, sizes_b, differing, percent: int):
+    """Whether so many differing bits leave room for the threshold."""
+    return (100 + percent) * differing <= (100 - percent) * (sizes_a + sizes_b)
+
+
+PAIRS = "a long, b long"
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that the bit sketches do not rule out."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, left, right = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for i in range(len(a)):
+                size = min(len(left[i]), len(right[i]))
+                differing = folded(left[i], size) ^ folded(right[i], size)
+                differing = int(np.bitwise_count(differing).sum())
+                kept.append(near_enough(n[i], m[i], differing, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    first = classes.select(F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    second = classes.select(F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(first, "a").join(second, "b")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(keep, PAIRS)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,23 +310,86 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("inter", inter).where(100 * F.col("inter") >= percent * union).select("a", "b")
 
 
-def _open_members(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, ranked, of keys that hold several components."""
-    order = "PARTITION BY key ORDER BY label, h"
-    return (
-        keys.select("key", "h")
-        .join(labels, "h", "left")
-        .withColumn("label", F.coalesce("label", "h"))
-        .withColumns(
-            {
-                "least": F.expr("min(label) OVER (PARTITION BY key)"),
-                "most": F.expr("max(label) OVER (PARTITION BY key)"),
-            }
-        )
+def _open_stars(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, h, label) of the stars whose members are in several components."""
+    labelled = (
+        stars.join(labels, "h", "left")
+        .select("pivot", "h", F.coalesce("label", "h").alias("label"))
+    )
+    several = stage(
+        labelled.groupBy("pivot")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
         .where("least <> most")
-        .withColumn("rank", F.expr(f"row_number() OVER ({order})") - 1)
-        .select("key", "h", "label", "rank")
+        .select("pivot", "size")
+    )
+    return labelled.join(several, "pivot")
+
+
+def _pairs_of_stars(members: DataFrame, classes: DataFrame, percent: int, only_best: bool) -> DataFrame:
+    """Pairs of members in different components that the bit sketches do not rule out.
+
+    Stars are cut into chunks, and chunks are compared with each other in tasks, by products
+    of bit matrices; just possible pairs leave a task. ``only_best`` gives a member its nearest partner in
+    a chunk alone, for a first step that connects most components.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != last and group:
+                    yield _chunk_pairs(group, percent, only_best)
+                    group = []
+                last = row[:3]
+                group.append(row[3:])
+        if group:
+            yield _chunk_pairs(group, percent, only_best)
+
+    chunks = F.floor(F.col("size") / CHUNK) + 1
+    cut = (
+        members.withColumn("own", F.pmod(F.xxhash64("h"), chunks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        .select(
+            "pivot",
+            F.least("own", "other").alias("first"),
+            F.greatest("own", "other").alias("second"),
+            "own",
+            "h",
+            "label",
+        )
+        .join(classes, "h")
+        .select("pivot", "first", "second", "own", "h", "label", "n", "bits")
     )
+    place = ["pivot", "first", "second"]
+    dealt = cut.repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(compare, PAIRS)
+
+
+def _chunk_pairs(group: list[tuple], percent: int, only_best: bool) -> pa.RecordBatch:
+    """Possible pairs between the two chunks of a group, or inside its one chunk."""
+    own, h, label, n, bits = zip(*group, strict=True)
+    own, h, label, n = (np.array(x, np.int64) for x in (own, h, label, n))
+    size = min(map(len, bits))
+    packed = np.stack([folded(b, size) for b in bits])
+    low, high = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
+    shared = np.zeros((len(low), len(high)), np.float64)
+    for at in range(0, size, SLICE_BYTES):
+        part = np.unpackbits(packed[:, at : at + SLICE_BYTES], axis=1).astype(np.float32)
+        shared += part[low] @ part[high].T
+    differing = ones[low][:, None] + ones[high][None] - 2 * shared
+    possible = near_enough(n[low][:, None], n[high][None], differing, percent)
+    possible &= label[low][:, None] != label[high][None]
+    if only_best:
+        differing = np.where(possible, differing, np.inf)
+        best = np.zeros_like(possible)
+        best[np.arange(len(low)), differing.argmin(1)] = True
+        best[differing.argmin(0), np.arange(len(high))] = True
+        possible &= best
+    i, j = np.nonzero(possible)
+    a, b = h[low][i], h[high][j]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def jaccard_components(
@@ -285,54 +407,53 @@ def jaccard_components(
         narrow.where("h IS NOT NULL AND doc_id IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("first"))
     )
     keys = _shared_keys(sets)
-    involved = stage(keys.select("h").distinct().join(firsts, "h").select(F.col("first").alias("_first")))
-    chosen = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    whole = stage(
-        whole_sets(texts.join(chosen, F.col("_id") == F.col("_first"), "left_semi"), "_id", "_text", words)
+    stars = stage(_stars(keys))
+    involved = stars.select("h").union(stars.select("pivot")).distinct()
+    classes = stage(
+        sets.where("bits IS NOT NULL").join(involved, "h", "left_semi")
+        .groupBy("h").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     )
-    tested = stage(_first_pairs(keys))
-    links = stage(_linked(tested, whole, percent))
-    labels = connect(links)
-    pivots = 1
-    while True:
-        # Every pair of a key with several components is compared in some round: pivots are
-        # taken by rank, twice as many each time, and compared with all behind them.
-        members = stage(_open_members(keys, labels))
-        size = members.agg(F.max("rank")).first()[0]
-        if size is None:
-            break
-        front = members.where(F.col("rank") < pivots).select(
-            "key", F.col("h").alias("p"), F.col("label").alias("p_label"), F.col("rank").alias("p_rank")
-        )
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among possible pairs; the texts of their classes are read again."""
+        wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        wanted = stage(wanted.join(firsts, "h").select(F.col("first").alias("_first")))
+        chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        read = texts.join(chosen, F.col("_id") == F.col("_first"), "left_semi")
+        return stage(_linked(pairs, stage(whole_sets(read, "_id", "_text", words)), percent))
+
+    to_pivots = stars.select(F.least("pivot", "h").alias("a"), F.greatest("pivot", "h").alias("b"))
+    tested = stage(_possible(to_pivots.distinct(), classes, percent))
+    labels = connect(verified(tested))
+    for only_best in (True, False):
+        # Members of a star are compared with each other where they are in different components:
+        # first each with the nearest alone, then all that are still apart.
+        members = _open_stars(stars, labels)
         pairs = stage(
-            members.join(front, "key")
-            .where("rank > p_rank AND label <> p_label")
-            .select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
+            _pairs_of_stars(members, classes, percent, only_best)
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
-        if not pairs.isEmpty():
-            found = stage(_linked(pairs, whole, percent))
-            tested = stage(tested.union(pairs))
-            if not found.isEmpty():
-                links = links.union(found)
-                labels = connect(links, labels)
-        if pivots > size:
-            break
-        pivots *= 2
-    reached = stage(
-        firsts.join(labels, "h", "left")
-        .withColumn("label", F.coalesce("label", "h"))
-        .groupBy("label")
-        .agg(F.min("first").alias("component"))
-    )
-    components = stage(
-        firsts.join(labels, "h", "left")
-        .withColumn("label", F.coalesce("label", "h"))
-        .join(reached, "label")
-        .select("h", "component")
+        if pairs.isEmpty():
+            continue
+        found = verified(pairs)
+        tested = tested.union(pairs)
+        if not found.isEmpty():
+            labels = relabelled(labels, found)
+    return _with_components(narrow, firsts, labels)
+
+
+def _with_components(narrow: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each document with the smallest id of its class's component.
+
+    The table to join is written out, so a class that most documents are of can be split.
+    """
+    labelled = stage(
+        firsts.join(labels, "h", "left").select("h", "first", F.coalesce("label", "h").alias("label"))
     )
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component"))
+    components = stage(labelled.join(smallest, "label").select("h", "component"))
     return narrow.join(components, "h", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
