@@ -104,9 +104,10 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     )
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     common = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w.isin(COMMON))
-    split = narrow.withColumns({"words": words(F.col("text")), "lines": lines, "common": common})
+    spaced = F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))
+    split = narrow.withColumns({"words": words(F.col("text")), "lines": lines, "common": spaced})
     classes = [F.regexp_count("text", F.lit(p)) for p in CHARACTER_CLASSES.values()]
-    commons = [F.size("common") - F.size(F.array_remove("common", w)) for w in COMMON]
+    commons = [_occurrences("common", w) for w in COMMON]
     return split.select(
         "doc_id",
         "lang",
@@ -126,6 +127,12 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     )
 
 
+def _occurrences(listed: str, word: str) -> Column:
+    """How often a word is in a list, given as text with a space on each side of every word."""
+    without = F.replace(F.col(listed), F.lit(f" {word} "), F.lit(""))
+    return ((F.length(listed) - F.length(without)) / (len(word) + 2)).cast("int")
+
+
 def _with_rest(counts: str, whole: Column) -> Column:
     """The counts and, last, how much of the whole they leave."""
     longs = F.transform(counts, lambda c: c.cast("long"))
