@@ -33,21 +33,18 @@ BROADCAST_ROWS = 500_000
 
 
 def segments(length: Column, threshold: int, number: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of a segment, by number from 0; the last ones take what is left over."""
+    """Place (from 1) and size of a segment, by number from 0, cut at even fractions of the length."""
     parts = threshold + 1
-    size, longer = F.floor(length / parts).cast("int"), length % parts
-    before = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - longer))
-    own = size + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
-    return (size * number + before + 1).cast("int"), own.cast("int")
+    start, end = (F.floor(length * k / parts).cast("int") for k in (number, number + 1))
+    return start + 1, end - start
 
 
-def entries(line: Column, threshold: int) -> Column:
-    """Hashes of a line's own segments and of its probes.
+def entries(line: Column, length: Column, threshold: int) -> Column:
+    """Hashes of a line's own segments and of its probes; ``length`` is a column with its length.
 
     For partners shorter by ``shorter``, segment i can only have moved so far that the edits
     before it and the edits behind it stay within the threshold.
     """
-    length = F.length(line)
     found = []
     for shorter in range(threshold + 1):
         partner = length - shorter
@@ -63,10 +60,42 @@ def entries(line: Column, threshold: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
+def common_prefix(left: Column, right: Column) -> Column:
+    """How many characters two texts begin with in common (counted up to 2 ** 21 - 1).
+
+    Blocks of falling powers of two are compared whole.
+    """
+    powers = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+
+    def of(most: Column) -> Column:
+        def longer(shared: Column, size: Column) -> Column:
+            same = F.substring(left, shared + 1, size) == F.substring(right, shared + 1, size)
+            return F.when((shared + size <= most) & same, shared + size).otherwise(shared)
+
+        return F.aggregate(powers, F.lit(0), longer)
+
+    return let(F.least(F.length(left), F.length(right)), of)
+
+
+def without_common_ends(left: Column, right: Column) -> Column:
+    """Both texts, as an array, without the beginning and the end that they share.
+
+    Neither changes the distance, and what is left of near texts is short.
+    """
+
+    def cut(text: Column, size: Column) -> Column:
+        return F.substring(text, size + 1, F.length(text))
+
+    def fronts_cut(a: Column, b: Column) -> Column:
+        return let(common_prefix(a, b), lambda k: F.array(F.reverse(cut(a, k)), F.reverse(cut(b, k))))
+
+    return let(fronts_cut(left, right), lambda pair: fronts_cut(pair[0], pair[1]))
+
+
 def within(left: Column, right: Column, threshold: int) -> Column:
     """Whether two texts are at most ``threshold`` edits apart.
 
-    Only a band of 2 * threshold + 1 diagonals of the table matters. Its vertical differences
+    What both begin and end with is left out first. Only a band of 2 * threshold + 1 diagonals of the table matters. Its vertical differences
     are two bit words that move along the texts; a step compares one character with
     the band's characters and updates all cells of the band by word operations.
     """
@@ -127,11 +156,24 @@ def within(left: Column, right: Column, threshold: int) -> Column:
             F.lit(threshold).alias("distance"),
         )
         walked = F.aggregate(F.sequence(F.lit(0), m - 1), start, step)["distance"]
-        return F.when(n - m > threshold, F.lit(False)).otherwise(walked <= threshold)
+        return (
+            F.when(n - m > threshold, F.lit(False)).when(m == 0, F.lit(True)).otherwise(walked <= threshold)
+        )
+
+    def ordered(pair: Column) -> Column:
+        longer = F.length(pair[0]) >= F.length(pair[1])
+        first = F.when(longer, pair[0]).otherwise(pair[1])
+        second = F.when(longer, pair[1]).otherwise(pair[0])
+        walked = let(characters(first), lambda a: let(characters(second), lambda b: run(a, b)))
+        return walked if threshold > 2 else F.when(may_be_near(first, second), walked).otherwise(False)
+
+    def may_be_near(long: Column, short: Column) -> Column:
+        """Both begin and end differently, so an edit is spent at either end: with two allowed, all
+        between the first and the last character of one stands in the other as it is."""
+        size = F.length(long)
+        return (size <= 2) | F.contains(short, F.substring(long, F.lit(2), size - 2))
 
-    longer = F.length(left) >= F.length(right)
-    first, second = F.when(longer, left).otherwise(right), F.when(longer, right).otherwise(left)
-    return let(characters(first), lambda a: let(characters(second), lambda b: run(a, b)))
+    return let(without_common_ends(left, right), ordered)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
@@ -141,9 +183,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> Dat
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-        .withColumn("line", line)
+        .select("doc_id", "line_no", line.alias("line"))
         .where(F.length("line") >= least_chars)
-        .select("doc_id", "line_no", "line", F.xxhash64("line").alias("line_id"))
+        .select(
+            "doc_id", "line_no", "line", F.xxhash64("line").alias("line_id"), F.length("line").alias("size")
+        )
     )
 
 
@@ -156,7 +200,7 @@ def _candidates(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]
     """Members (entry, line_id, first) of entries shared by several lines, and those lines' texts."""
     listed = lines.select(
         "line_id", "line", F.struct("doc_id", "line_no").alias("place"),
-        F.explode(entries(F.col("line"), threshold)).alias("entry"),
+        F.explode(entries(F.col("line"), F.col("size"), threshold)).alias("entry"),
     )
     shared = stage(
         listed.groupBy("entry")
@@ -212,16 +256,15 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     behind = 1  # every line was compared with that many earlier lines of each of its entries
     while True:
         order = "PARTITION BY entry ORDER BY first, line_id"
-        settled = near.withColumn("settled", F.lit(True))
-        ranked = stage(
-            members.join(settled, "line_id", "left")
-            .withColumns(
-                {
-                    "open": F.expr("count_if(settled IS NULL) OVER (PARTITION BY entry)"),
-                    "size": F.expr("count(*) OVER (PARTITION BY entry)"),
-                }
-            )
+        marked = members.join(near.withColumn("settled", F.lit(True)), "line_id", "left")
+        unsettled = stage(
+            marked.groupBy("entry")
+            .agg(F.count_if(F.col("settled").isNull()).alias("open"), F.count("*").alias("size"))
             .where((F.col("open") > 1) & (F.col("size") > behind + 1))
+            .select("entry")
+        )
+        ranked = stage(
+            marked.join(unsettled, "entry")
             .withColumn("rank", F.expr(f"row_number() OVER ({order})") - 1)
             .select("entry", "line_id", "rank", F.col("settled").isNull().alias("open"))
         )
