@@ -42,9 +42,9 @@ from starledger.llm.text_hashes import BASE, mix64, text_bytes, word_hashes
 from starledger.sources.staging import stage
 
 CROWD = 64
-CHUNK = 1024
-SLICE_BYTES = 1024  # of bit sketches that are unpacked at a time
-BAND_RATIO = 1.5
+CHUNK = 2048
+SLICE_BYTES = 128  # of bit sketches that are unpacked at a time
+BAND_RATIO = 1.75
 BROADCAST_ROWS = 500_000
 
 
@@ -78,7 +78,7 @@ class Bands:
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND_RATIO)))
         self.allowed = [(100 - percent) * (u - 1) // percent for u in self.edges[1:]]
-        self.blocks = [d + 2 + -(-d // 8) for d in self.allowed]
+        self.blocks = [d + 2 + -(-d // 16) for d in self.allowed]
 
     def of(self, n: int) -> list[int]:
         """Own band, and the one before if a smaller partner may be there."""
@@ -110,11 +110,11 @@ def sketch_keys(shingles: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarr
 def bit_sketch(shingles: np.ndarray) -> bytes:
     """A bit sketch: bit i is the parity of the shingles that hash to i.
 
-    Of a power of two bits, four a shingle or more, so few shingles meet. Halves can be XORed to
+    Of a power of two bits, two a shingle or more, so few shingles meet. Halves can be XORed to
     get the sketch with half as many bits. Two sketches differ in at most as many bits
     as shingles that only one of the sets has.
     """
-    bits = 1 << max(8, (4 * len(shingles) - 1).bit_length())
+    bits = 1 << max(8, (2 * len(shingles) - 1).bit_length())
     place = (mix64(shingles) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -372,16 +372,17 @@ def _chunk_pairs(group: list[tuple], percent: int, only_best: bool) -> pa.Record
     size = min(map(len, bits))
     packed = np.stack([folded(b, size) for b in bits])
     low, high = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
-    ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
-    shared = np.zeros((len(low), len(high)), np.float64)
+    ones = np.bitwise_count(packed).sum(1, dtype=np.int64).astype(np.float32)
+    shared = np.zeros((len(low), len(high)), np.float32)  # whole numbers below 2 ** 24
     for at in range(0, size, SLICE_BYTES):
         part = np.unpackbits(packed[:, at : at + SLICE_BYTES], axis=1).astype(np.float32)
         shared += part[low] @ part[high].T
     differing = ones[low][:, None] + ones[high][None] - 2 * shared
+    del shared
     possible = near_enough(n[low][:, None], n[high][None], differing, percent)
     possible &= label[low][:, None] != label[high][None]
     if only_best:
-        differing = np.where(possible, differing, np.inf)
+        differing[~possible] = np.inf
         best = np.zeros_like(possible)
         best[np.arange(len(low)), differing.argmin(1)] = True
         best[differing.argmin(0), np.arange(len(high))] = True
