@@ -259,8 +259,12 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
         marked = members.join(near.withColumn("settled", F.lit(True)), "line_id", "left")
         unsettled = stage(
             marked.groupBy("entry")
-            .agg(F.count_if(F.col("settled").isNull()).alias("open"), F.count("*").alias("size"))
-            .where((F.col("open") > 1) & (F.col("size") > behind + 1))
+            .agg(
+                F.count_if(F.col("settled").isNull()).alias("open"),
+                F.min(F.struct("first", "line_id", F.col("settled").isNull().alias("open"))).alias("pivot"),
+                F.count("*").alias("size"),
+            )  # the pivot is open or settled itself; what counts are open lines besides it
+            .where((F.col("open") > F.col("pivot.open").cast("long")) & (F.col("size") > behind + 1))
             .select("entry")
         )
         ranked = stage(

@@ -111,3 +111,18 @@ def test_near_lines_share_an_entry(spark, threshold):
 
 def test_empty_table(frame):
     assert line_dedup.dedup_lines(frame([])).collect() == []
+
+
+def test_one_open_line_behind_a_settled_pivot(frame):
+    """The last line shares one entry with its near copy, whose other lines are all settled, the pivot too."""
+    lines = [
+        "The quick brawn fox jumps over lazy dog near the river bank.",
+        "The quick brown fox jumps over lazy dog near the river bank.",
+        "The quick brawn fox paints a red barn in the month of winter",
+        "The quick brown fox paints a red barn in the month of winter",
+        "The quick brown fox paints a rod barn in the month of wintar",
+    ]
+    rows = list(enumerate(lines))
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(rows)).collect())
+    assert got == naive(rows)
+    assert [n for _, _, n in got] == [0, 1, 0, 1, 1]
