@@ -9,7 +9,8 @@ A surrogate is a function of the key, the type and the entity in canonical form
 separators, left out), so one entity has one surrogate in all its spellings and texts
 (coreference). Distinctness is checked over the whole corpus: of entities that would share a
 surrogate, all but the first draw anew, and so does an entity whose surrogate is a real
-entity of the corpus, until no such case is left.
+entity of the corpus, until no such case is left. Phone and SSN-like numbers keep their count of
+digits for ``FORMAT_DRAWS`` draws; after that each draw adds a digit behind them, which makes room.
 
 Null text stays null; empty text has no entity. Rows are rewritten one by one, so
 repeated rows stay equal. Null ids are kept. Extra columns are kept as they are.
@@ -24,7 +25,7 @@ from starledger.llm.expressions import let, total
 from starledger.sources.staging import stage
 
 BROADCAST_ROWS = 500_000
-MOST_DRAWS = 40
+FORMAT_DRAWS = 8  # numbers drawn more often get further digits, as their format is nearly full
 
 # --- fixed values: patterns, forms of address, names ----------------------------
 
@@ -156,12 +157,18 @@ def _address(hexes: Column) -> Column:
     return F.concat_ws(".", *(o.cast("string") for o in octets))
 
 
-def _phone(entity: Column, hexes: Column) -> Column:
+def _longer(attempt: Column, hexes: Column) -> Column:
+    """Further digits of a number whose format had no free surrogate in ``FORMAT_DRAWS`` draws."""
+    count = F.greatest(attempt - (FORMAT_DRAWS - 1), F.lit(0))
+    return F.substring(_digits(hexes), F.lit(33), count)
+
+
+def _phone(entity: Column, hexes: Column, attempt: Column) -> Column:
     """The first digit of eleven or more (a country code) stays."""
 
     def refilled(old: Column) -> Column:
         kept = F.when(F.length(old) > 10, F.substring(old, 1, 1)).otherwise("")
-        return _refilled(entity, r"\d", F.concat(kept, _digits(hexes)))
+        return F.concat(_refilled(entity, r"\d", F.concat(kept, _digits(hexes))), _longer(attempt, hexes))
 
     return let(F.regexp_replace(entity, r"\D", ""), refilled)
 
@@ -254,9 +261,9 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
             F.when(kind == "email", _email(key, entity, hexes, attempt))
             .when(kind == "ip", _address(hexes))
             .when(kind == "iban", _iban(entity, hexes))
-            .when(kind == "ssn", _refilled(entity, r"\d", _digits(hexes)))
+            .when(kind == "ssn", F.concat(_refilled(entity, r"\d", _digits(hexes)), _longer(attempt, hexes)))
             .when(kind == "card", _card(entity, hexes))
-            .when(kind == "phone", _phone(entity, hexes))
+            .when(kind == "phone", _phone(entity, hexes, attempt))
             .otherwise(_person(entity, hexes, attempt))
         )
 
@@ -274,7 +281,7 @@ def redrawn(known: DataFrame, key: str) -> DataFrame:
     """kind, entity, attempt of the entities whose first surrogates clash.
 
     Each round finds shared surrogates and surrogates that are entities themselves, and draws
-    anew for those; the corpus is not read again.
+    anew for those; the corpus is not read again. Formats that can get full make room, so it ends.
     """
     known = stage(known)
 
@@ -283,7 +290,7 @@ def redrawn(known: DataFrame, key: str) -> DataFrame:
         return rows.withColumn("made", canonical(F.col("kind"), made))
 
     now = stage(drawn(known.withColumn("attempt", F.lit(0))))
-    for _ in range(MOST_DRAWS):
+    while True:
         firsts = stage(
             now.groupBy("kind", "made")
             .agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
@@ -299,7 +306,6 @@ def redrawn(known: DataFrame, key: str) -> DataFrame:
         fresh = now.join(again, ["kind", "entity"], "left_semi")
         fresh = drawn(fresh.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
         now = stage(now.join(again, ["kind", "entity"], "left_anti").union(fresh))
-    raise RuntimeError("there are more entities of a type than surrogates in its format")
 
 
 def replace_entities(

@@ -86,6 +86,17 @@ def test_distinct_entities_stay_distinct(frame):
     assert not set(made) & set(made.values())
 
 
+def test_more_numbers_than_their_format_has_room_for(frame):
+    """6,000 of the 10,000 four-digit numbers: 4,000 are free, the other surrogates must be longer."""
+    numbers = [f"+{n}" for n in range(1000, 7000)]
+    rows = [(i, ", ".join(numbers[i * 100 : i * 100 + 100])) for i in range(60)]
+    found = replaced(frame, [*rows, (60, numbers[0])])
+    made = [x for i, _ in rows for x in found[i]["text"].split(", ")]
+    assert all(re.fullmatch(r"\+\d{4,}", x) for x in made) and len(set(made)) == len(numbers)
+    assert not set(made) & set(numbers) and found[60]["text"] == made[0]
+    assert all(found[i]["n_entities"] == 100 for i, _ in rows)
+
+
 def test_columns_and_empty_table(frame):
     docs = frame([])
     result = pii.replace_entities(docs, key="k")
