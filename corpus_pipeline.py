@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.llm import decontamination, language, line_dedup, ngram_join, packing
@@ -38,13 +38,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs, language.train(docs), LEAST_LANGUAGE_SCORE)
 
 
+def _short_lines(text: Column) -> Column:
+    """Digest of the lines that are too short to be compared, in order; null without any."""
+    short = F.filter(
+        F.transform(F.split(text, "\n"), F.trim),
+        lambda s: (F.length(s) < line_dedup.LEAST_CHARS) & s.rlike(r"\S"),
+    )
+    return F.when(F.size(short) > 0, F.md5(F.array_join(short, "\n")))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out; a document that loses all its long lines goes."""
+    """Takes repeated lines out. A document that loses all its long lines goes if nothing but white
+    space is left, or if its short lines are, one by one, those of a document with a smaller id."""
     shorter = line_dedup.dedup_lines(docs)
-    long_lines = F.filter(
+    emptied = (F.col("n_removed") > 0) & ~F.exists(
         F.split("text", "\n"), lambda s: F.length(F.trim(s)) >= line_dedup.LEAST_CHARS
     )
-    kept = shorter.where((F.col("n_removed") == 0) | (F.size(long_lines) > 0))
+    marked = shorter.withColumn("__emptied", F.coalesce(emptied, F.lit(False))).withColumn(
+        "__short_lines", F.when(F.col("__emptied"), _short_lines(F.col("text")))
+    )
+    left = _limited(marked.where("__short_lines IS NOT NULL").select("doc_id", "__short_lines").distinct())
+    first = (
+        docs.select("doc_id", _short_lines(F.col("text")).alias("__short_lines"))
+        .where("doc_id IS NOT NULL AND __short_lines IS NOT NULL")
+        .groupBy("__short_lines")
+        .agg(F.min("doc_id").alias("__first"))
+    )
+    gone = first.join(left, "__short_lines").where("doc_id > __first").select("doc_id", "__short_lines")
+    kept = marked.where("NOT __emptied OR __short_lines IS NOT NULL").join(
+        _limited(gone), ["doc_id", "__short_lines"], "left_anti"
+    )
     return kept.withColumn(
         "n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
     ).select(docs.columns)

@@ -95,3 +95,21 @@ def test_empty_table(spark, frame, folder):
     for _, step in corpus_pipeline.STAGES:
         docs = stage(step(spark, docs, folder[0]))
     assert docs.collect() == []
+
+
+def test_short_lines_that_stand_nowhere_else_stay(spark, frame):
+    licence = "This text is shared under a licence that many documents carry"
+    poem = "\n".join(f"line {k}" for k in range(200))
+    copied = "A long line of the first document, which a copy repeats\nHello\nBye"
+    rows = [
+        (1, licence),
+        (2, licence + "\n" + poem),
+        (3, copied),
+        (4, copied),
+        (5, licence + "\n \n"),
+        (6, licence + "\nBye\nHello"),
+        (7, licence + "\nHello\nBye"),
+    ]
+    got = corpus_pipeline.dedup_lines(spark, frame(rows), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: licence, 2: poem, 3: copied, 6: "Bye\nHello"}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
