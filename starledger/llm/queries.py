@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.llm import (
+    bpe,
+    crc_resampling,
     decontamination,
     importance,
     language,
@@ -19,6 +21,7 @@ from starledger.llm import (
     quality_rules,
     secrets,
     twins,
+    vector_codes,
     warc,
 )
 
@@ -99,6 +102,25 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, folder, "documents")).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def laesa_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, codebooks = vector_codes.compress(_table(spark, folder, "embeddings"))
+    digest = F.lit(vector_codes.codebooks_digest(codebooks))
+    return codes.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return crc_resampling.draw(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_secret_scan": secret_scan,
@@ -110,6 +132,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_crf": language_crf,
     "op9_surrogates": surrogates,
     "op10_warc_normaliser": warc_round_trip,
+    "op11_byte_bpe": byte_bpe,
+    "op12_laesa_codes": laesa_codes,
+    "op13_crc_resampling": target_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -118,4 +143,6 @@ SQL: dict[str, str] = {
     "op5_spaced_seeds": twins.SPACED_SEEDS,
     "op6_line_edit_join": twins.LINE_EDIT_JOIN,
     "op10_warc_normaliser": twins.WARC_NORMALISER,
+    "op12_laesa_codes": twins.LAESA_CODES,
+    "op13_crc_resampling": twins.CRC_RESAMPLING,
 }

@@ -227,3 +227,114 @@ SELECT
     CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM keepers
 """
+
+
+def _laesa_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Codebooks of all rounds one after the other; every part against every entry of its codebook."""
+    steps = [
+        """kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""pieces AS MATERIALIZED (
+    SELECT vec_id, part, x[1 + part * len(x) // {parts} : (part + 1) * len(x) // {parts}] AS p
+    FROM kept, range({parts}) AS r(part)
+)""",
+        f"""book0 AS MATERIALIZED (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p AS c FROM pieces
+    QUALIFY entry < {entries}
+)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""found{k} AS MATERIALIZED (
+    SELECT vec_id, part, any_value(p) AS p, min({{'d': d, 'e': entry}}) AS best FROM (
+        SELECT vec_id, part, p, entry, list_sum(list_transform(
+            range(1, len(p) + 1), lambda i: (p[i] - c[i]) * (p[i] - c[i]))) AS d
+        FROM pieces JOIN book{k} USING (part))
+    GROUP BY vec_id, part
+)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m, c) AS c FROM book{k} LEFT JOIN (
+        SELECT part, entry, list(q ORDER BY i) AS m FROM (
+            SELECT part, best.e AS entry, i, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*))
+                // count(*) AS BIGINT) AS q
+            FROM (SELECT part, best, unnest(range(len(p))) AS i, unnest(p) AS v FROM found{k})
+            GROUP BY part, best.e, i)
+        GROUP BY part, entry) USING (part, entry)
+)"""
+            )
+    return "WITH " + ", ".join(steps) + f"""
+, codes AS MATERIALIZED (
+    SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY part) AS code,
+        CAST(sum(best.d) AS BIGINT) AS error
+    FROM found{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{rounds})
+        AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)
+"""
+
+
+LAESA_CODES = _laesa_codes()
+
+CRC_RESAMPLING = """
+WITH RECURSIVE steps AS (
+    SELECT b, b AS c, 0 AS k FROM range(256) AS r(b)
+    UNION ALL
+    SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, k + 1
+    FROM steps WHERE k < 8
+), crc_table AS MATERIALIZED (
+    SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+), texts AS (
+    SELECT 'd' AS side, doc_id AS id, text FROM documents
+    UNION ALL SELECT 't', row_number() OVER (), text FROM benchmark
+), worded AS MATERIALIZED (
+    SELECT side, id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM texts
+), features AS MATERIALIZED (
+    SELECT side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+    FROM worded
+), folded AS MATERIALIZED (
+    SELECT side, id, f, count(*) AS n FROM features GROUP BY side, id, f
+), spelled AS MATERIALIZED (
+    SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM folded)
+), bucketed AS MATERIALIZED (
+    SELECT f, xor(list_reduce(
+        list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8),
+        CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+    FROM spelled, crc_table
+), counts AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t
+    FROM folded JOIN bucketed USING (f) GROUP BY bucket
+), sums AS (
+    SELECT coalesce(sum(s), 0) + 10000 AS all_s, coalesce(sum(t), 0) + 10000 AS all_t FROM counts
+), gain AS MATERIALIZED (
+    SELECT bucket, CAST(floor(1000 * ln(
+        CAST((t + 1) * all_s AS DOUBLE) / CAST((s + 1) * all_t AS DOUBLE))) AS BIGINT) AS g
+    FROM counts, sums
+), weights AS (
+    SELECT id, sum(n) AS n, sum(n * g) AS total
+    FROM folded JOIN bucketed USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS MATERIALIZED (
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+        CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+            / 4294967296::DOUBLE))) AS BIGINT) AS noise
+    FROM documents d LEFT JOIN weights ON id = d.doc_id
+), drawn AS (
+    SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank
+    FROM scored WHERE n_features >= 39
+    QUALIFY rank <= (SELECT 25 * count(*) // 100 FROM scored WHERE n_features >= 39)
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CAST(rank AS BIGINT) AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)
+"""
