@@ -17,11 +17,11 @@ from starledger.functions.semantics import (
     int_avg,
     months_between,
     percent,
-    ratio,
     ratio2,
     years_between,
 )
 from starledger.operators.distinct import aggregate_distinct_apart
+from starledger.operators.means import mean_quotient
 from starledger.operators.members import additive_by_member, describe_member, resolve_member
 from starledger.operators.ranking import SlicedOrder, rank_values, top_n
 from starledger.star import Star, dated_sales
@@ -69,11 +69,13 @@ def customer_metrics(star: Star, diversity: bool = True) -> DataFrame:
     ``diversity=False`` leaves out.
     """
     distinct = {"total_orders": "order_number"}
+    facts = resolve_member(dated_sales(star.sales), star.customers, "customer_key")
     if diversity:
         distinct["total_products"] = "product_key"
-    dated = dated_sales(star.sales)
+        measured = ["sales_amount", "quantity", "order_date", "price"]
+        facts = star.for_passes(facts, ["customer_key", *distinct.values(), *measured])
     metrics = aggregate_distinct_apart(
-        resolve_member(dated, star.customers, "customer_key"),
+        facts,
         "customer_key",
         [
             F.sum("sales_amount").alias("customer_lifetime_value"),
@@ -172,9 +174,13 @@ def at_risk_high_value(star: Star, as_of: date | None = None) -> DataFrame:
 def product_metrics(star: Star) -> DataFrame:
     """Measures and attributes per product. Undated sales count; a product with no
     other sales has no dates."""
-    unit_price = ratio(F.col("sales_amount"), F.col("quantity"))
+    distinct = {"total_orders": "order_number", "total_customers": "customer_key"}
+    measured = ["sales_amount", "quantity", "order_date", "price"]
+    facts = star.for_passes(
+        resolve_member(star.sales, star.products, "product_key"), ["product_key", *distinct.values(), *measured]
+    )
     metrics = aggregate_distinct_apart(
-        resolve_member(star.sales, star.products, "product_key"),
+        facts,
         "product_key",
         [
             F.sum("sales_amount").alias("total_sales"),
@@ -182,14 +188,17 @@ def product_metrics(star: Star) -> DataFrame:
             F.sum("quantity").alias("total_quantity"),
             F.min("order_date").alias("first_sale_date"),
             F.max("order_date").alias("last_sale_date"),
-            F.round(F.avg(unit_price), 2).alias("avg_selling_price"),
             F.min("price").alias("min_selling_price"),
             F.max("price").alias("max_selling_price"),
         ],
-        distinct={"total_orders": "order_number", "total_customers": "customer_key"},
+        distinct,
+    )
+    prices = mean_quotient(facts, "product_key", "sales_amount", "quantity", "_price").select(
+        F.col("product_key").alias("_priced"), F.round("_price", 2).alias("avg_selling_price")
     )
+    priced = metrics.join(prices, F.col("product_key").eqNullSafe(F.col("_priced")), "left").drop("_priced")
     return describe_member(
-        metrics, star.products, "product_key", ["product_name", "category", "subcategory", "cost"]
+        priced, star.products, "product_key", ["product_name", "category", "subcategory", "cost"]
     ).withColumnRenamed("cost", "product_cost")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starledger.functions.semantics import asc, int_avg, month_start
+from starledger.functions.semantics import asc, int_avg, int_div, month_start
 from starledger.operators.distinct import aggregate_distinct_apart
 from starledger.operators.periods import sign_label, timeline, with_change
+from starledger.operators.sketches import estimate, merged, with_sketches
 from starledger.star import Star, dated_sales
 
 
@@ -43,25 +44,55 @@ def _month_text() -> Column:
     return F.date_format("month", "yyyy-MM").alias("order_month")
 
 
-def monthly_trend(star: Star) -> DataFrame:
+def monthly_rollup(star: Star) -> DataFrame:
+    """One row per month: exact sums, and sketches of its orders and customers.
+
+    It takes one pass over the facts and is small. Kept as a table, it answers for months, years and
+    seasons with estimated distinct counts, and rollups of separate loads can be merged.
+    """
+    sums = [_sales(), _quantity(), F.sum("price").alias("price_sum"), F.count("price").alias("price_count")]
+    return with_sketches(_by_month(star), ["month"], sums, {"orders": "order_number", "customers": "customer_key"})
+
+
+def _rolled_up(rollup: DataFrame, by: Column) -> DataFrame:
+    """A rollup merged to coarser periods, with its counts estimated."""
+    return rollup.groupBy(by).agg(
+        F.sum("total_sales").alias("total_sales"),
+        F.sum("total_quantity").alias("total_quantity"),
+        estimate(merged("orders")).alias("total_orders"),
+        estimate(merged("customers")).alias("total_customers"),
+        int_div(F.sum("price_sum"), F.sum("price_count")).alias("avg_price"),
+    )
+
+
+def monthly_trend(star: Star, approx: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+    """``approx`` estimates the customers from sketches, of a kept ``rollup`` if one is given."""
+    monthly = (
+        _rolled_up(rollup or monthly_rollup(star), F.col("month"))
+        if approx
+        else _by_month(star).groupBy("month").agg(_sales(), _customers(), _quantity(), _avg_price())
+    )
     return (
-        _by_month(star)
-        .groupBy("month")
-        .agg(_sales(), _customers(), _quantity(), _avg_price())
-        .orderBy("month")
+        monthly.orderBy("month")
         .select(_month_text(), "total_sales", "total_customers", "total_quantity", "avg_price")
     )
 
 
-def yearly_trend(star: Star) -> DataFrame:
-    return (
-        aggregate_distinct_apart(
-            _by_year(star),
+def yearly_trend(star: Star, approx: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+    """``approx`` estimates orders and customers, as in :func:`monthly_trend`."""
+    columns = ["order_year", "sales_amount", "quantity", "price", "order_number", "customer_key"]
+    yearly = (
+        _rolled_up(rollup or monthly_rollup(star), F.year("month").alias("order_year"))
+        if approx
+        else aggregate_distinct_apart(
+            star.for_passes(_by_year(star), columns),
             "order_year",
             [_sales(), _quantity(), _avg_price()],
             distinct={"total_orders": "order_number", "total_customers": "customer_key"},
         )
-        .select(
+    )
+    return (
+        yearly.select(
             "order_year",
             "total_sales",
             "total_customers",
@@ -73,18 +104,24 @@ def yearly_trend(star: Star) -> DataFrame:
     )
 
 
-def seasonality(star: Star) -> DataFrame:
-    """Calendar months added up over all years."""
+def seasonality(star: Star, approx: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+    """Calendar months added up over all years; ``approx`` as in :func:`yearly_trend`."""
     # 2000 stands for any year: the name needs a date, the grouping only the number.
     name = F.date_format(F.make_date(F.lit(2000), "month_number", F.lit(1)), "MMMM")
-    return (
-        aggregate_distinct_apart(
-            _dated(star).withColumn("month_number", F.month("order_date")),
+    by_month = _dated(star).withColumn("month_number", F.month("order_date"))
+    columns = ["month_number", "sales_amount", "quantity", "order_number", "customer_key"]
+    seasons = (
+        _rolled_up(rollup or monthly_rollup(star), F.month("month").alias("month_number"))
+        if approx
+        else aggregate_distinct_apart(
+            star.for_passes(by_month, columns),
             "month_number",
             [_sales(), _quantity()],
             distinct={"total_orders": "order_number", "total_customers": "customer_key"},
         )
-        .select(
+    )
+    return (
+        seasons.select(
             "month_number",
             name.alias("month_name"),
             "total_sales",

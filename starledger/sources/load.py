@@ -2,11 +2,14 @@
 
 A load replaces its target. A row is bad when a field does not convert, a field
 is missing or left over, a text is longer than 50 characters, or a quantity
-does not fit an unsigned byte; so is a blank line. Bad rows are written aside first, and
-what was written is counted: the load is judged before its target is touched with rows, and a
-task that runs twice counts once. Up to ``max_errors`` bad rows are skipped, with a
+does not fit an unsigned byte; so is a blank line. The source is read once, as lines: they are parsed and
+written to the staging folder with their verdict, and all that follows reads this table. So bad rows are counted
+from what was committed (a task that runs twice counts once), the load is judged before
+its target is touched, and what is published is what was judged. Up to ``max_errors`` bad rows are skipped, with a
 warning that says where they are kept; more than that fail the load and leave the target
 empty.
+
+A load that fails leaves the table of the load before (see :mod:`starledger.sources.publish`).
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.sources import schema as S
-from starledger.sources.staging import staging_path
+from starledger.sources.publish import Layout, publish
+from starledger.sources.staging import stage, staging_path
 
 BAD_LINE = "_bad_line"
 ORDER_YEAR = "order_year"
+HEADER, BLANK, BAD, GOOD = "header", "blank", "bad", "good"
 
 
 class LoadError(Exception):
@@ -50,14 +55,27 @@ def load_products(spark: SparkSession, source: str, target: str, **options) -> D
     return _load(spark, source, target, S.DIM_PRODUCTS, key="product_key", **options)
 
 
-def load_sales(spark: SparkSession, source: str, target: str, **options) -> DataFrame:
+def load_sales(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    cluster_by: str | None = None,
+    buckets: int = 64,
+    **options,
+) -> DataFrame:
     """The fact table, stored by order year; a filter on ``order_year`` reads those years only.
 
     The rebalance hint lets AQE cut a large year into several files and put
     small ones together, so neither a dominant year nor unsorted input decides
     the size of the files.
+
+    ``cluster_by`` names a key (``customer_key``, ``product_key`` or ``order_number``) by whose
+    hash a catalog table is also cut into ``buckets``, the same in every year. Grouping, distinct counts and joins
+    by that key then shuffle no facts. A key that holds much of the
+    table makes one large bucket; leave such tables unclustered.
     """
-    return _load(spark, source, target, S.FACT_SALES, partition_by_year=True, **options)
+    layout = Layout(ORDER_YEAR, cluster_by, buckets if cluster_by else 0)
+    return _load(spark, source, target, S.FACT_SALES, layout=layout, **options)
 
 
 def _load(
@@ -66,7 +84,7 @@ def _load(
     target: str,
     schema: T.StructType,
     key: str | None = None,
-    partition_by_year: bool = False,
+    layout: Layout = Layout(),
     long_keys: bool = False,
     max_errors: int = 10,
     rejects: str | None = None,
@@ -77,13 +95,21 @@ def _load(
     names a folder for the text of bad rows, by default one in the staging folder.
     """
     schema = S.with_long_keys(schema) if long_keys else schema
-    parsed = read_delimited(spark, source, schema).withColumn("_bad", _is_bad(schema))
-    good = parsed.where(~F.col("_bad")).select(*schema.names)
-    if partition_by_year:
-        good = good.withColumn(ORDER_YEAR, F.year("order_date"))
+    judged = stage(judged_lines(spark, source, schema))
+    headless = (
+        judged.groupBy("_file").agg(F.max(F.col("_verdict") == HEADER).alias("named")).where("NOT named").first()
+    )
+    if headless is not None:
+        raise LoadError(f"{headless['_file']} has no header line {','.join(schema.names)}")
 
+    good = judged.where(F.col("_verdict") == GOOD).select(*schema.names)
+    if layout.partition_by:
+        good = good.withColumn(ORDER_YEAR, F.year("order_date"))
+    bad = judged.where(F.col("_verdict").isin(BAD, BLANK))
+    bad_rows = bad.count()
     rejects = rejects or staging_path(spark)
-    bad_rows = _keep_bad_rows(parsed, _blank_lines(spark, source), rejects, schema)
+    if bad_rows:
+        bad.select(BAD_LINE, *schema.names).write.mode("overwrite").json(rejects)
     refusal = None
     if bad_rows > max_errors:
         refusal = f"{bad_rows} bad rows in {source}, at most {max_errors} allowed"
@@ -93,44 +119,47 @@ def _load(
         if example:
             refusal = f"{key} {example[0][key]} occurs {example[0]['count']} times in {source}"
     if refusal is not None:
-        _replace(good.limit(0), target, partition_by_year)
+        publish(good.limit(0), target, layout)
         raise LoadError(refusal, bad_rows, rejects)
 
-    spread = good.hint("rebalance", ORDER_YEAR) if partition_by_year else good
-    _replace(spread, target, partition_by_year)
+    stored = publish(good, target, layout)
     if bad_rows:
         message = f"{bad_rows} bad rows of {source} were skipped; they are in {rejects}"
         warnings.warn(SkippedRows(message, bad_rows, rejects), stacklevel=3)
-    return _stored(spark, target, good.schema)
-
-
-def _blank_lines(spark: SparkSession, source: str) -> DataFrame:
-    """Lines without any text, which the delimited reader passes over."""
-    return spark.read.text(source).where(F.trim("value") == "").select(F.col("value").alias(BAD_LINE))
+    return stored
 
 
-def _keep_bad_rows(parsed: DataFrame, blank: DataFrame, folder: str, schema: T.StructType) -> int:
-    """Write the bad rows to ``folder`` and count what was written."""
-    bad = parsed.where("_bad").select(BAD_LINE, *schema.names)
-    bad = bad.unionByName(blank, allowMissingColumns=True)
-    bad.write.mode("overwrite").json(folder)
-    return parsed.sparkSession.read.schema(f"{BAD_LINE} string").json(folder).count()
+def judged_lines(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
+    """Every line of comma-separated text without quoting: its fields, verdict, file, and text if it is no row.
 
-
-def read_delimited(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
-    """Comma-separated text with a header line and no quoting; an empty field is NULL.
-
-    A line that does not fit the schema keeps its text in ``_bad_line``.
+    An empty field is NULL. A line that reads like the schema's names is a header wherever it stands.
     """
-    return (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())]))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("quote", "")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_LINE)
-        .option("dateFormat", "yyyy-MM-dd")
-        .csv(source)
+    line = F.ltrim(F.col("value"), F.lit("\ufeff"))
+    parsed = F.from_csv(
+        line,
+        ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{BAD_LINE}` string",
+        {
+            "quote": "",
+            "mode": "PERMISSIVE",
+            "columnNameOfCorruptRecord": BAD_LINE,
+            "dateFormat": "yyyy-MM-dd",
+        },
+    )
+    lines = spark.read.text(source).select(
+        line.alias("_line"), F.col("_metadata.file_path").alias("_file"), parsed.alias("_row")
+    )
+    fields = lines.select("_line", "_file", "_row.*")
+    verdict = (
+        F.when(F.lower("_line") == ",".join(schema.names), HEADER)
+        .when(F.trim("_line") == "", BLANK)
+        .when(_is_bad(schema), BAD)
+        .otherwise(GOOD)
+    )
+    return fields.withColumn("_verdict", verdict).select(
+        *schema.names,
+        F.when(F.col("_verdict").isin(BAD, BLANK), F.col("_line")).alias(BAD_LINE),
+        "_file",
+        "_verdict",
     )
 
 
@@ -143,27 +172,3 @@ def _is_bad(schema: T.StructType) -> Column:
         elif isinstance(field.dataType, T.ShortType):
             checks.append(~column.between(*S.QUANTITY_RANGE))
     return reduce(or_, [F.coalesce(check, F.lit(False)) for check in checks])
-
-
-def _is_path(target: str) -> bool:
-    return "/" in target
-
-
-def _replace(df: DataFrame, target: str, partition_by_year: bool) -> None:
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by_year:
-        writer = writer.partitionBy(ORDER_YEAR)
-    if _is_path(target):
-        writer.save(target)
-        return
-    if "." in target:
-        schema = target.rsplit(".", 1)[0]
-        df.sparkSession.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
-    writer.saveAsTable(target)
-
-
-def _stored(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """With the declared schema: a target without rows may hold no file to read one from."""
-    if not _is_path(target):
-        return spark.table(target)
-    return spark.read.schema(schema).parquet(target)

@@ -34,6 +34,7 @@ def load_star(spark: SparkSession, folder: str, with_orders: bool = True) -> Sta
         customers=_customers(table("customer"), table("nation")),
         products=_products(table("part")),
         sales=_sales(lines, table("orders")) if with_orders else lines.select(*_line_columns()),
+        derived=with_orders,
     )
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starledger.sources.staging import stage
+
 
 def dated_sales(sales: DataFrame) -> DataFrame:
     """Facts with an order date. Facts stored by year skip the folder of those without."""
@@ -21,11 +23,20 @@ class Star:
     Contract: a non-NULL ``customer_key`` / ``product_key`` occurs once in its
     dimension (the loaders check it). Nothing else is assumed: facts may carry
     unknown or NULL keys, and may lack an order date.
+
+    ``derived`` says that the facts come out of joins. Jobs that pass over them more than once
+    then write the columns they need out first; stored facts are simply scanned again.
     """
 
     customers: DataFrame
     products: DataFrame
     sales: DataFrame
+    derived: bool = False
+
+    def for_passes(self, facts: DataFrame, columns: list[str]) -> DataFrame:
+        """``facts``, taken from the sales of this star, ready to be read several times."""
+        narrow = facts.select(*columns)
+        return stage(narrow) if self.derived else narrow
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -44,4 +55,4 @@ class Star:
                 *[F.collate(c, "UTF8_LCASE").alias(c) if t == "string" else c for c, t in table.dtypes]
             )
 
-        return Star(*map(fold, (self.customers, self.products, self.sales)))
+        return Star(*map(fold, (self.customers, self.products, self.sales)), self.derived)

@@ -2,10 +2,12 @@ import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from starledger.sources import load, schema
+from starledger.operators.members import resolve_member
+from starledger.sources import load, publish, schema, staging
 from starledger.sources.catalog import catalog_columns, catalog_tables, column_counts
 from starledger.star import dated_sales
 
@@ -149,7 +151,7 @@ def test_skipped_rows_are_told_and_kept(spark, tmp_path):
     with pytest.warns(load.SkippedRows) as told:
         got = load.load_sales(spark, source, str(tmp_path / "sales"))
     assert got.count() == 2
-    skipped = told[0].message
+    skipped = next(w.message for w in told if w.category is load.SkippedRows)
     assert skipped.bad_rows == 3 and skipped.rejects in str(skipped)
     kept = spark.read.json(skipped.rejects)
     assert sorted(r[load.BAD_LINE].strip() for r in kept.collect()) == ["", "", BAD_SALE]
@@ -175,6 +177,98 @@ def test_catalog_target(spark, tmp_path):
     spark.sql("DROP SCHEMA gold CASCADE")
 
 
+@pytest.mark.parametrize("table", ["products", "sales"])
+def test_the_source_is_read_once(spark, tmp_path, monkeypatch, table):
+    """After the staging write the source is gone, and the load still ends."""
+    lines = {"products": (HEADER, BELL, BAD[0], PEDAL), "sales": (SALES_HEADER, GOOD_SALE, "", BAD_SALE)}[table]
+    source, staged = write(tmp_path, "once.csv", *lines), []
+
+    def stage_and_remove(df):
+        staged.append(staging.stage(df))
+        (tmp_path / "once.csv").unlink()
+        return staged[-1]
+
+    monkeypatch.setattr(load, "stage", stage_and_remove)
+    loader = {"products": load.load_products, "sales": load.load_sales}[table]
+    with pytest.warns(load.SkippedRows):
+        got = loader(spark, source, str(tmp_path / "out"))
+    assert got.count() == {"products": 2, "sales": 1}[table] and len(staged) == 1
+
+
+@pytest.mark.filterwarnings("ignore::starledger.sources.load.SkippedRows")
+def test_several_files_each_with_its_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, "1.csv", "\ufeff" + HEADER.upper(), BELL)
+    write(folder, "2.csv", HEADER, PEDAL, "")
+    (folder / "3.csv").write_text("")
+    assert load.load_products(spark, str(folder), str(tmp_path / "out")).count() == 2
+    write(folder, "4.csv", BELL.replace("1,", "4,", 1))
+    with pytest.raises(load.LoadError, match="4.csv has no header"):
+        load.load_products(spark, str(folder), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def failing(spark, rows):
+    """Rows of which some are written before one fails."""
+    return spark.range(rows, numPartitions=4).selectExpr(
+        "'SO' || id AS order_number", "id AS customer_key",
+        f"CAST(IF(id = {rows} - 1, raise_error('lost'), 2010) AS INT) AS order_year",
+    )
+
+
+@pytest.mark.parametrize(("kind", "clustered"), [("path", False), ("catalog", False), ("catalog", True)])
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path, kind, clustered):
+    target = str(tmp_path / "sales") if kind == "path" else "versions.sales"
+    layout = publish.Layout("order_year", "customer_key", 4) if clustered else publish.Layout("order_year")
+    good = spark.createDataFrame(
+        [(f"SO{i}", i, 2010 + i % 2) for i in range(7)], "order_number string, customer_key long, order_year int"
+    )
+    assert publish.publish(good, target, layout).count() == 7
+    running = spark.read.parquet(target) if kind == "path" else spark.table(target)
+    with pytest.raises(Exception, match="lost"):
+        publish.publish(failing(spark, 100), target, layout)
+    again = spark.read.parquet(target) if kind == "path" else spark.table(target)
+    assert running.count() == again.count() == 7
+    assert publish.publish(good.limit(3), target, layout).count() == 3
+    spark.sql("DROP SCHEMA IF EXISTS versions CASCADE")
+
+
+def test_a_running_query_keeps_its_version(spark):
+    """The version before stays until the publish after next; older ones go."""
+    sizes = [spark.range(n) for n in (5, 6, 7)]
+    first = publish.publish(sizes[0], "versions.t")
+    second = publish.publish(sizes[1], "versions.t")
+    assert (first.count(), second.count(), spark.table("versions.t").count()) == (5, 6, 6)
+    assert publish.publish(sizes[2], "versions.t").count() == 7 and second.count() == 6
+    with pytest.raises(Exception, match="(?i)not.?exist"):
+        first.collect()
+    assert publish.publish(spark.range(2).toDF("other"), "versions.t").columns == ["other"]
+    spark.sql("DROP SCHEMA versions CASCADE")
+
+
+def test_clustered_facts_are_counted_and_joined_without_a_shuffle(spark, tmp_path, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"
+    )
+    lines = [f"SO{i % 40},1,{i % 9},{2010 + i % 3}-05-01,,,100,1,5" for i in range(200)]
+    source = write(tmp_path, "s.csv", SALES_HEADER, *lines)
+    sales = load.load_sales(spark, source, "versions.facts", cluster_by="customer_key", buckets=4)
+    assert sales.count() == 200
+    counted = sales.groupBy("customer_key").agg(F.count_distinct("order_number").alias("n"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert sum(r["n"] for r in counted.collect()) == len({(i % 40, i % 9) for i in range(200)})
+    customers = spark.range(9).selectExpr("CAST(id AS INT) AS customer_key")
+    joined = resolve_member(sales, customers, "customer_key")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan  # that of the customers
+    assert joined.where("customer_key IS NULL").count() == 0
+    with pytest.raises(ValueError, match="catalog"):
+        load.load_sales(spark, source, str(tmp_path / "out"), cluster_by="customer_key")
+    spark.sql("DROP SCHEMA versions CASCADE")
+
+
 def test_missing_source(spark, tmp_path):
     with pytest.raises(AnalysisException):
         load.load_customers(spark, str(tmp_path / "none.csv"), str(tmp_path / "out"))

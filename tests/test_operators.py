@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window
@@ -6,9 +7,14 @@ from pyspark.sql import functions as F
 
 from starledger.functions.semantics import asc, desc
 from starledger.operators.distinct import aggregate_distinct_apart
+from starledger.operators.means import mean_quotient
 from starledger.operators.members import additive_by_attributes, additive_by_member, resolve_member
 from starledger.operators.ranking import SlicedOrder, rank_values, tile, top_ranked
+from starledger.operators.sketches import estimate, merged, with_sketches
 from starledger.operators.totals import over_groups, over_members, with_total_row
+from starledger.plans import trends
+from starledger.sources.order_tables import load_star
+from tests.conftest import SMALL
 
 
 def members(spark, rows):
@@ -134,3 +140,57 @@ def test_total_row_adds_up_the_groups(facts):
         ("o3", 2, 22),
         ("o4", None, 22),
     ]
+
+
+def test_mean_of_quotients_has_the_same_bits_however_facts_are_cut(spark):
+    """A plain average of these differs in its last bits with the order of its terms."""
+    rows = [(i % 3 if i % 50 else None, (i * 7919) % 1009 - 200, (i * 31) % 13) for i in range(3000)]
+    rows += [(0, None, 3), (1, 5, None), (9, 5, 0), (9, None, None)]
+    facts = spark.createDataFrame(rows, "key int, amount int, quantity short")
+    found = set()
+    for parts in (1, 8, 200):
+        got = mean_quotient(facts.repartition(parts), "key", "amount", "quantity", "mean").collect()
+        found.add(tuple(sorted((str(r["key"]), r["mean"].hex()) for r in got)))
+    assert len(found) == 1
+    want = {}
+    for key, amount, quantity in rows:
+        if amount is not None and quantity:
+            want.setdefault(str(key), []).append(Fraction(amount, quantity))
+    means = {key: float.fromhex(text) for key, text in found.pop()}
+    assert means.keys() == want.keys()
+    for key, terms in want.items():
+        assert means[key] == pytest.approx(float(sum(terms) / len(terms)), rel=1e-13)
+
+
+def test_sketches_merge_and_stay_within_their_error(spark):
+    facts = spark.range(60_000).selectExpr(
+        "id % 12 AS month", "concat('SO', id DIV 2) AS order_number", "CAST(id % 9000 AS SMALLINT) AS customer_key"
+    )
+    monthly = with_sketches(facts, ["month"], [], {"orders": "order_number", "customers": "customer_key"})
+    exact = {
+        r["month"]: (r["o"], r["c"])
+        for r in facts.groupBy("month")
+        .agg(F.count_distinct("order_number").alias("o"), F.count_distinct("customer_key").alias("c"))
+        .collect()
+    }
+    for r in monthly.select("month", estimate("orders").alias("o"), estimate("customers").alias("c")).collect():
+        assert r["o"] == pytest.approx(exact[r["month"]][0], rel=0.04)
+        assert r["c"] == pytest.approx(exact[r["month"]][1], rel=0.04)
+    whole = monthly.agg(estimate(merged("orders")).alias("o"), estimate(merged("customers")).alias("c")).first()
+    assert whole["o"] == pytest.approx(30_000, rel=0.04) and whole["c"] == pytest.approx(9_000, rel=0.04)
+
+
+@pytest.mark.parametrize("job", [trends.monthly_trend, trends.yearly_trend, trends.seasonality])
+def test_trends_from_a_rollup_of_sketches(spark, job):
+    star = load_star(spark, SMALL)
+    exact = [r.asDict() for r in job(star).collect()]
+    rollup = trends.monthly_rollup(star)
+    for got in (job(star, approx=True), job(star, approx=True, rollup=rollup)):
+        rows = [r.asDict() for r in got.collect()]
+        assert len(rows) == len(exact) and got.columns == list(exact[0])
+        for row, want in zip(rows, exact, strict=True):
+            for name, value in want.items():
+                if name in ("total_orders", "total_customers"):
+                    assert row[name] == pytest.approx(value, rel=0.04)
+                else:
+                    assert row[name] == value
