@@ -22,7 +22,7 @@ def aggregate_distinct_apart(
     count goes with the measures and each other count is an aggregation of its
     own over two narrow columns; the results meet at group grain. Every count
     shuffles by (group, counted value), so a dominant group stays spread out.
-    ``facts`` are read once per count: give stored ones (:meth:`Star.for_passes`).
+    ``facts`` are read once per count; :meth:`Star.for_passes` writes them out where that pays.
     """
     (first, column), *others = distinct.items()
     together = [F.count_distinct(column).alias(first), *measures]

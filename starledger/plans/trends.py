@@ -80,12 +80,11 @@ def monthly_trend(star: Star, approx: bool = False, rollup: DataFrame | None = N
 
 def yearly_trend(star: Star, approx: bool = False, rollup: DataFrame | None = None) -> DataFrame:
     """``approx`` estimates orders and customers, as in :func:`monthly_trend`."""
-    columns = ["order_year", "sales_amount", "quantity", "price", "order_number", "customer_key"]
     yearly = (
         _rolled_up(rollup or monthly_rollup(star), F.year("month").alias("order_year"))
         if approx
         else aggregate_distinct_apart(
-            star.for_passes(_by_year(star), columns),
+            _by_year(star),
             "order_year",
             [_sales(), _quantity(), _avg_price()],
             distinct={"total_orders": "order_number", "total_customers": "customer_key"},
@@ -109,12 +108,11 @@ def seasonality(star: Star, approx: bool = False, rollup: DataFrame | None = Non
     # 2000 stands for any year: the name needs a date, the grouping only the number.
     name = F.date_format(F.make_date(F.lit(2000), "month_number", F.lit(1)), "MMMM")
     by_month = _dated(star).withColumn("month_number", F.month("order_date"))
-    columns = ["month_number", "sales_amount", "quantity", "order_number", "customer_key"]
     seasons = (
         _rolled_up(rollup or monthly_rollup(star), F.month("month").alias("month_number"))
         if approx
         else aggregate_distinct_apart(
-            star.for_passes(by_month, columns),
+            by_month,
             "month_number",
             [_sales(), _quantity()],
             distinct={"total_orders": "order_number", "total_customers": "customer_key"},

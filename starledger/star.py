@@ -24,8 +24,9 @@ class Star:
     dimension (the loaders check it). Nothing else is assumed: facts may carry
     unknown or NULL keys, and may lack an order date.
 
-    ``derived`` says that the facts come out of joins. Jobs that pass over them more than once
-    then write the columns they need out first; stored facts are simply scanned again.
+    ``derived`` says that the facts come out of joins. The reports, which resolve members at fact grain and pass
+    over the result two or three times, then write the columns they need out first; stored facts are
+    simply scanned again.
     """
 
     customers: DataFrame

@@ -8,7 +8,7 @@ import pytest
 from starledger import star
 from starledger.jobs import JOBS
 from starledger.operators import ranking
-from starledger.plans import trends
+from starledger.plans import reports
 from starledger.sources import staging
 from starledger.sources.order_tables import load_star
 from starledger.sources.staging import staging_root
@@ -73,9 +73,6 @@ def test_facts_are_read_once(spark, name):
 @pytest.mark.parametrize(
     "name",
     [
-        "e08_kpi_dashboard",
-        "a02_yearly_trend",
-        "a03_seasonality",
         "r01_report_customers",
         "r02_report_products",
         "r03_products_by_sales",
@@ -102,7 +99,7 @@ def test_facts_with_several_counts_are_joined_once(spark, monkeypatch, name):
 def test_stored_facts_are_not_written_again(spark, monkeypatch):
     monkeypatch.setattr(star, "stage", None)
     stored = load_star(spark, SMALL)
-    trends.yearly_trend(star.Star(stored.customers, stored.products, stored.sales)).collect()
+    reports.customer_metrics(star.Star(stored.customers, stored.products, stored.sales)).collect()
 
 
 @pytest.mark.parametrize("name", ["e12_cost_by_category", "a12_cost_ranges", "e11_category_distribution"])
