@@ -5,7 +5,10 @@ hexadecimal runs). The lexer adds what patterns miss: it reads source and
 configuration syntax into name-literal pairs, carries constants from one
 name to another within a text, and scores each literal by the name it ends up in.
 
-Null text is empty text: no span. Positions count code points, ends are exclusive.
+Null text is empty text: no span. Positions count code points, ends are exclusive. Rows are scanned one by
+one: repeated rows tell the same, null ids are kept, an empty table gives no rows, and other columns are not
+looked at. Texts are scanned whole, whatever their length; what a name holds is kept as references to literals
+and earlier values, so constants that are put together again and again take no room.
 """
 
 from __future__ import annotations
@@ -96,35 +99,59 @@ def literal_weight(literal: str) -> float:
     return min(1.0, entropy / 4.0) * (0.7 + 0.3 * (kinds - 1)) if kinds else 0.0
 
 
+class _Value:
+    """What a name was set to: a literal with its span, or earlier values in order."""
+
+    __slots__ = ("literal", "parts")
+
+    def __init__(self, literal: tuple[str, int, int] | None = None, parts: list[_Value] | None = None):
+        self.literal, self.parts = literal, parts or []
+
+    def literals(self) -> list[tuple[str, int, int]]:
+        """Its distinct literals, in the order in which they first occur."""
+        found, seen, waiting = [], set(), [self]
+        while waiting:
+            value = waiting.pop()
+            if id(value) in seen:
+                continue
+            seen.add(id(value))
+            if value.literal:
+                found.append(value.literal)
+            waiting.extend(reversed(value.parts))
+        return found
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, in order.
 
     ``name = "a" + "b"`` joins its literals; ``name = other`` takes what ``other`` was last
-    set to, and the span reported is that of the literal itself.
+    set to, and the span reported is that of the literal itself. A literal that is joined twice counts once.
     """
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, _Value] = {}
     found: set[tuple[int, int]] = set()
     for m in PAIR.finditer(text):
-        parts: list[tuple[str, int, int]] = []
+        parts: list[_Value] = []
         value, at = m["value"], m.start("value")
         if value[0] in "\"'`":
-            parts.append((value[1:-1], at + 1, at + len(value) - 1))
+            parts.append(_Value((value[1:-1], at + 1, at + len(value) - 1)))
         elif value in constants:
-            parts.extend(constants[value])
+            parts.append(constants[value])
         else:
-            parts.append((value, at, at + len(value)))
+            parts.append(_Value((value, at, at + len(value))))
         for piece in PART.finditer(m["rest"]):
             start = m.start("rest") + piece.start()
             if piece[0][0] in "\"'":
-                parts.append((piece[0][1:-1], start + 1, start + len(piece[0]) - 1))
-            else:
-                parts.extend(constants.get(piece[0], ()))
-        constants[m["name"]] = parts
+                parts.append(_Value((piece[0][1:-1], start + 1, start + len(piece[0]) - 1)))
+            elif piece[0] in constants:
+                parts.append(constants[piece[0]])
+        held = parts[0] if len(parts) == 1 else _Value(parts=parts)
+        constants[m["name"]] = held
         weight = name_weight(m["name"])
         if weight:
-            joined = "".join(p for p, _, _ in parts)
-            if weight + literal_weight(joined) > LEAST_SCORE and literal_weight(joined):
-                found.update((s, e) for p, s, e in parts if p)
+            literals = held.literals()
+            likely = literal_weight("".join(p for p, _, _ in literals))
+            if likely and weight + likely > LEAST_SCORE:
+                found.update((s, e) for p, s, e in literals if p)
     return sorted(found)
 
 

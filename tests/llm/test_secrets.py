@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
+
 from starledger.llm import secrets
 from tests.llm.conftest import EDGE_ROWS
 
@@ -75,3 +77,20 @@ def test_empty_table_and_digest(frame):
     assert hashlib.sha256(b"").hexdigest() == (
         "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     )
+
+
+@pytest.mark.parametrize("line", ["a = a + a", "a = a + b\nb = b + a", "b = a\na = b + b"])
+def test_constants_that_hold_themselves(spark, line):
+    text = 'a = "Zx9Kq2"\nb = "Lm4Np7Rt"\n' + "\n".join([line] * 200) + "\npassword = a\n"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan_secrets(docs).first()
+    spans = secrets.literal_spans(text)
+    assert row["n_literal"] == len(spans)
+    wanted = ["Zx9Kq2", "Lm4Np7Rt"] if "a + b" in line else []  # one alone is too short
+    assert [text[s:e] for s, e in spans] == wanted
+
+
+def test_a_literal_that_is_joined_twice_counts_once():
+    text = 'a = "Zx9Kq2Lm"\nsecret_key = a + "4Np7" + a\n'
+    spans = secrets.literal_spans(text)
+    assert [text[s:e] for s, e in spans] == ["Zx9Kq2Lm", "4Np7"]
