@@ -73,23 +73,27 @@ def vocabulary_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _encoding(ranks_path: str, pattern: str):
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class Coder:
     """Ids of texts and bytes of ids, with a rank file. ``special`` strings are ids of their own."""
 
     def __init__(self, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.special = dict(special)
         self._cut = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if special else None
-        self._by_pattern = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special
-        )
-        self._whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self._by_pattern = _encoding(ranks_path, pattern)
+        self._ranks_path, self._whole = ranks_path, None
 
     def _plain(self, text: str) -> Iterator[list[int]]:
         for part, whole in segments(text):
+            if whole and self._whole is None:
+                self._whole = _encoding(self._ranks_path, "(?s:.+)")
             yield (self._whole if whole else self._by_pattern).encode_ordinary(part)
 
     def ids(self, text: str) -> Iterator[list[int]]:
@@ -112,6 +116,12 @@ class Coder:
             found.byteswap()
         return found.tobytes()
 
+    def _bytes_of(self, ids: list[int]) -> bytes:
+        if not self.special:
+            return self._by_pattern.decode_bytes(ids)
+        names = {i: s.encode() for s, i in self.special.items()}
+        return b"".join(names[i] if i in names else self._by_pattern.decode_bytes([i]) for i in ids)
+
     def text_bytes(self, packed: bytes) -> bytes | None:
         """The bytes of packed ids; null if there is an id without bytes, or part of one."""
         if len(packed) % 4:
@@ -122,7 +132,7 @@ class Coder:
         parts = []
         for at in range(0, len(ids), IDS_AT_ONCE):
             try:
-                parts.append(self._by_pattern.decode_bytes(ids[at : at + IDS_AT_ONCE].tolist()))
+                parts.append(self._bytes_of(ids[at : at + IDS_AT_ONCE].tolist()))
             except KeyError:
                 return None
         return b"".join(parts)

@@ -7,21 +7,20 @@ open packs with the most room; the packing patterns are then joined back to the
 pieces by their rank among the pieces of their length.
 
 Null text is an empty document (its end token alone); rows that repeat, and rows
-whose id is null, are documents of their own; an empty table gives no rows.
+whose id is null, are documents of their own; an empty table gives no rows. Long texts, and long runs of white space in
+them, are encoded piecewise with the ids of the whole (see :mod:`starledger.llm.bpe`).
 """
 
 from __future__ import annotations
 
-import base64
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starledger.llm import bpe
 from starledger.sources.staging import stage
 
 SEQ_LEN = 2048
@@ -29,48 +28,19 @@ END_ID = 1
 #: Pieces of one length that are ranked together; a longer run is split by a hash.
 RANK_BLOCK = 1024
 
+#: Rank file, pattern, and special strings with their ids.
+Vocabulary = tuple[str, str, tuple[tuple[str, int], ...]]
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """The default vocabulary as a rank file, and the pattern that splits text before it.
+def tokenizer_files() -> Vocabulary:
+    """The default vocabulary as a rank file, the pattern that splits text before it, and its special tokens.
 
-    It is the vocabulary of byte_bpe_50k.json; the rank file gives the same ids (held by
-    tests) several times faster, and without word-piece objects that are not needed here.
+    It is the vocabulary of byte_bpe_50k.json as that tokenizer is opened by default: the end-of-text string
+    in a text is the id of that token. The rank file gives the same ids (held by tests) several times faster.
     """
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
-class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encoding = tiktoken.Encoding(
-            "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
-        )
-
-    def __call__(self, text: str) -> bytes:
-        ids = array("I", self._encoding.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One encoder per Python worker."""
-    key = (ranks_path, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks_path, pattern)
-    return _encoders[key]
+    return (*bpe.vocabulary_files(), (("<|endoftext|>", 50256),))
 
 
 def document_pieces(
@@ -80,14 +50,14 @@ def document_pieces(
     text_col: str = "text",
     seq_len: int = SEQ_LEN,
     end_id: int = END_ID,
-    vocabulary: tuple[str, str] | None = None,
+    vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """Pieces of at most ``seq_len`` ids: whole sequences first, then the rest."""
-    ranks_path, pattern = vocabulary or tokenizer_files()
+    files = vocabulary or tokenizer_files()
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks_path, pattern)
+        encode = bpe.coder(*files).packed
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -182,7 +152,7 @@ def pack_documents(
     text_col: str = "text",
     seq_len: int = SEQ_LEN,
     end_id: int = END_ID,
-    vocabulary: tuple[str, str] | None = None,
+    vocabulary: Vocabulary | None = None,
 ) -> DataFrame:
     """One row per piece of a document with its sequence and offset there.
 

@@ -15,14 +15,12 @@ P = pytest.importorskip("public_tokenizers")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def rows(prose):
-    odd = ["<|endoftext|> x", "a  b   c\n\n d", "don't 's", " ", "\n", "é　漢字 😀‍👩"]
+    odd = ["<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endof", "<|endoftext|>", "a  b   c\n\n d", "don't 's", " ", "\n", "é　漢字 😀‍👩"]
     texts = [prose(k, 1 + k * k * 7) for k in range(30)] + odd + [prose(50, 9000)] * 2
     return [*enumerate(texts), *EDGE_ROWS]
 
@@ -84,3 +82,12 @@ def test_longest_go_first_to_the_pack_with_most_room():
 
 def test_empty_table(frame):
     assert packing.pack_documents(frame([])).collect() == []
+
+
+def test_a_long_run_of_blanks(frame):
+    """No token holds two blanks, and the tokenizer itself panics on so many."""
+    blanks = 2_000_000
+    got = packing.pack_documents(frame([(1, " " * blanks), (2, "x" + " " * blanks)])).collect()
+    assert {(r["doc_id"], r["doc_tokens"]) for r in got} == {(1, blanks + 1), (2, blanks + 2)}
+    whole = array("I", [220] * packing.SEQ_LEN).tobytes()
+    assert {r["ids_crc32"] for r in got if r["doc_id"] == 1 and r["length"] == packing.SEQ_LEN} == {zlib.crc32(whole)}
