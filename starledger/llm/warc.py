@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starledger.sources.staging import stage, staging_path
@@ -62,6 +62,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     )
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file system understands it, so that tasks open the same one.
+
+    A path without a scheme may be one of HDFS; those of a local file system stay plain.
+    """
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    whole = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return "/" + whole.removeprefix("file:").lstrip("/") if whole.startswith("file:") else whole
+
+
 def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -188,6 +199,7 @@ def write_archives(
             out.close()
             yield _batch([(f"{folder}/{path.rpartition('/')[2]}", count, raw)], MANIFEST)
 
+    folder = resolved(records.sparkSession, folder)
     return stage(records.mapInArrow(write, MANIFEST))
 
 
@@ -199,13 +211,16 @@ class _Inflated:
 
     def __init__(self, source):
         self._source, self._inflate = source, zlib.decompressobj(GZIP)
-        self._ready, self._left = bytearray(), b""
+        self._ready, self._left, self._begun = bytearray(), b"", False
 
     def _more(self) -> bool:
         data = self._left or self._source.read(READ_BYTES)
         self._left = b""
         if not data:
+            if self._begun and not self._inflate.eof:
+                raise ValueError("the archive ends inside its gzip stream")
             return False
+        self._begun = True
         if self._inflate.eof:
             data = data.lstrip(b"\0")  # padding between members
             if not data:
@@ -250,21 +265,22 @@ def normalise(manifest: DataFrame, folder: str, *, span_bytes: int = SPAN_BYTES,
     """Rewrite each archive with one gzip member a record; returns the index.
 
     Each archive is inflated once, as a stream, by one task; a record is held in pieces
-    of bounded size. Beside ``x.warc.gz`` stands ``x.cdxj``: one line a record with
+    of bounded size. A stream that is cut, even between
+    records, and a number of records other than the manifest's are errors. Beside ``x.warc.gz`` stands ``x.cdxj``: one line a record with
     its offset and length. Rows of the index also tell the run of records (span) to read.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive in batch.column("archive").to_pylist():
-                yield from rewrite_one(archive)
+            for archive, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from rewrite_one(archive, records)
 
-    def rewrite_one(archive: str) -> Iterator[pa.RecordBatch]:
+    def rewrite_one(archive: str, records: int | None) -> Iterator[pa.RecordBatch]:
         store, path = _open_fs(archive)
         target_store, root = _open_fs(folder)
         target_store.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
-        rows, offset, span = [], 0, 0
+        rows, offset, span, count = [], 0, 0, 0
         with (
             store.open_input_stream(path, compression=None) as source,
             target_store.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as out,
@@ -293,13 +309,16 @@ def normalise(manifest: DataFrame, folder: str, *, span_bytes: int = SPAN_BYTES,
                 told |= {"filename": f"{name}.warc.gz", "offset": offset, "length": length}
                 sidecar.write(f"{entry[2] or '-'} {DATE} {json.dumps(told)}\n".encode())
                 rows.append((f"{folder}/{name}.warc.gz", *entry, offset, length, span))
-                offset += length
+                offset, count = offset + length, count + 1
                 if len(rows) >= 10_000:
                     yield _batch(rows, INDEX)
                     rows = []
+        if records is not None and count != records:
+            raise ValueError(f"{archive} has {count} records, not {records}")
         yield _batch(rows, INDEX)
 
-    spread = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
+    folder = resolved(manifest.sparkSession, folder)
+    spread = manifest.select("archive", "records").repartition(max(1, manifest.count()), "archive")
     return stage(spread.mapInArrow(rewrite, INDEX))
 
 

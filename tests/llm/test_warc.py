@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import zlib
 from pathlib import Path
 
 import pytest
@@ -106,6 +107,45 @@ def test_a_cut_archive_is_refused(pages, tmp_path, spark):
         warc.normalise(manifest, f"{tmp_path}/normal").collect()
 
 
+def test_streams_that_are_cut_between_records_are_refused(pages, tmp_path, spark):
+    """The stream ends behind a record, without its last blocks or without its trailer."""
+    rows = warc.page_records(pages.coalesce(1))
+    made = warc.write_archives(rows, f"{tmp_path}/crawl").first()
+    whole = gzip.open(made["archive"]).read()
+    border = whole.index(b"\r\n\r\nWARC/1.1") + 4
+    deflate = zlib.compressobj(6, zlib.DEFLATED, warc.GZIP)
+    flushed = deflate.compress(whole[:border]) + deflate.flush(zlib.Z_SYNC_FLUSH)
+    cut = {
+        "border": (flushed, "ends inside its gzip stream"),
+        "trailer": (gzip.compress(whole)[:-8], "ends inside its gzip stream"),
+        "fewer": (gzip.compress(whole[:border]), "has 1 records, not"),
+    }
+    for name, (data, message) in cut.items():
+        path = tmp_path / f"{name}.warc.gz"
+        path.write_bytes(data)
+        manifest = spark.createDataFrame([(str(path), made["records"], 1)], warc.MANIFEST)
+        with pytest.raises(Exception, match=message):
+            warc.normalise(manifest, f"{tmp_path}/normal").collect()
+    empty = tmp_path / "empty.warc.gz"
+    empty.write_bytes(b"")
+    manifest = spark.createDataFrame([(str(empty), 0, 0)], warc.MANIFEST)
+    assert warc.normalise(manifest, f"{tmp_path}/normal").collect() == []
+
+
+def test_paths_are_those_of_the_default_file_system(spark, tmp_path):
+    """A path without a scheme belongs to Spark's default file system, not to each executor's disk."""
+    assert warc.resolved(spark, str(tmp_path)) == str(tmp_path)
+    assert warc.resolved(spark, f"file://{tmp_path}") == str(tmp_path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./archives", f"file://{tmp_path}")
+    try:
+        assert warc.resolved(spark, "/archives").startswith("viewfs://shared/")
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 @pytest.mark.parametrize("page", [0, 1, -1, 2**63 - 1, -(2**63), 2**40 + 5])
 def test_ids_hold_pages(page):
     assert warc.page_of(warc.record_id(page)) == page
