@@ -10,9 +10,12 @@ segment's number), and probes the segments of lines as long as itself or up to t
 just the places where such a segment may stand. Lines that share an entry are verified by a banded
 bit-parallel edit distance.
 
-Work on shared entries: the earliest line of an entry is compared with all others, which
-settles groups of near copies; lines that are still unsettled meet twice as many earlier
-lines in each further round, until each was compared with every earlier line of its entries.
+Work on shared entries: entries are made once, from one occurrence of each distinct line. The earliest line of
+an entry is compared with all others, which settles groups of near copies; lines that are still
+unsettled meet ``STEP`` times as many earlier lines in each further round, until each was compared with
+every earlier line of its entries. In these rounds a pair leaves the join only if its sketches allow it: the
+parities of a line's hashed character pairs, of which an edit changes four at most, so that lines which
+share a segment and little else are ruled out by one comparison of two numbers.
 Hot lines are merged before they are joined. Lines and segments are compared by 64-bit hashes.
 
 Null text stays null. Rows with a null id are neither changed nor compared. Rows that repeat an id and text
@@ -30,6 +33,7 @@ from starledger.sources.staging import stage
 THRESHOLD = 2
 LEAST_CHARS = 30
 BROADCAST_ROWS = 500_000
+STEP = 8
 
 
 def segments(length: Column, threshold: int, number: int) -> tuple[Column, Column]:
@@ -176,6 +180,27 @@ def within(left: Column, right: Column, threshold: int) -> Column:
     return let(without_common_ends(left, right), ordered)
 
 
+def pair_sketch(line: Column) -> Column:
+    """64 bits: each the parity of the pairs of neighbouring characters that hash to it.
+
+    An edit takes away two such pairs and adds two at most, so lines within ``threshold`` edits differ in
+    at most four times as many bits.
+    """
+
+    def of(characters: Column) -> Column:
+        after = F.slice(characters, 2, F.greatest(F.size(characters), F.lit(1)))
+        pairs = F.zip_with(
+            characters, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int")
+        )
+
+        def flipped(word: Column, bit: Column) -> Column:
+            return word.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+
+        return F.aggregate(pairs, F.lit(0).cast("long"), flipped)
+
+    return let(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), of)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
     """doc_id, line_no, line, line_id of every line that takes part."""
     line = F.trim("raw")
@@ -196,11 +221,16 @@ def _limited(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _candidates(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Members (entry, line_id, first) of entries shared by several lines, and those lines' texts."""
-    listed = lines.select(
-        "line_id", "line", F.struct("doc_id", "line_no").alias("place"),
-        F.explode(entries(F.col("line"), F.col("size"), threshold)).alias("entry"),
+def _candidates(lines: DataFrame, firsts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Members (entry, line_id, first) of entries shared by several lines, and those lines' texts.
+
+    ``firsts`` has the first place and the number of occurrences of each line_id.
+    """
+    again = _limited(stage(firsts.where("n > 1").select("line_id", "first")))
+    place = F.struct("doc_id", "line_no")
+    distinct = lines.join(again, "line_id", "left").where(F.col("first").isNull() | (place == F.col("first")))
+    listed = stage(
+        distinct.select("line_id", F.explode(entries(F.col("line"), F.col("size"), threshold)).alias("entry"))
     )
     shared = stage(
         listed.groupBy("entry")
@@ -208,16 +238,11 @@ def _candidates(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]
         .where("least <> most")
         .select("entry")
     )
-    found = stage(
-        listed.join(_limited(shared), "entry", "left_semi")
-        .groupBy("entry", "line_id")
-        .agg(F.min("place").alias("first"))
-    )
-    involved = stage(found.groupBy("line_id").agg(F.min("first").alias("first")))
-    members = stage(found.select("entry", "line_id").join(involved, "line_id"))
-    chosen = _limited(involved.select("line_id", "first"))
+    found = stage(listed.join(_limited(shared), "entry", "left_semi").distinct())
+    involved = stage(found.select("line_id").distinct().join(firsts, "line_id").select("line_id", "first"))
+    members = stage(found.join(involved, "line_id"))
     texts = stage(
-        lines.join(chosen, "line_id")
+        lines.join(_limited(involved), "line_id")
         .where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
         .select("line_id", "line")
         .distinct()
@@ -238,9 +263,9 @@ def _near(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
+def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
     """line_id of the lines that are near a line that occurs earlier."""
-    members, texts = _candidates(lines, threshold)
+    members, texts = _candidates(lines, firsts, threshold)
     pivots = stage(
         members.groupBy("entry")
         .agg(F.min(F.struct("first", "line_id")).alias("pivot"))
@@ -253,6 +278,7 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
         .distinct()
     )
     near = stage(_near(tested, texts, threshold))
+    sketches = None
     behind = 1  # every line was compared with that many earlier lines of each of its entries
     while True:
         order = "PARTITION BY entry ORDER BY first, line_id"
@@ -274,20 +300,32 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
         )
         if ranked.where(F.col("open") & (F.col("rank") > behind)).isEmpty():
             return near
-        early = ranked.where(F.col("rank").between(behind, 2 * behind)).select(
-            "entry", F.col("line_id").alias("early"), F.col("rank").alias("early_rank")
+        if sketches is None:  # later rounds have no other lines
+            open_lines = ranked.select("line_id").distinct()
+            sketches = stage(
+                texts.join(open_lines, "line_id", "left_semi").select("line_id", pair_sketch(F.col("line")).alias("bits"))
+            )
+        ranked = ranked.join(sketches, "line_id")
+        early = ranked.where(F.col("rank").between(behind, STEP * behind)).select(
+            "entry",
+            F.col("line_id").alias("early"),
+            F.col("rank").alias("early_rank"),
+            F.col("bits").alias("early_bits"),
         )
+        may_be_near = F.bit_count(F.col("bits").bitwiseXOR(F.col("early_bits"))) <= 4 * threshold
+        late = ranked.where("open").withColumnRenamed("entry", "late_entry")
         pairs = stage(
-            ranked.where("open")
-            .join(early, "entry")
-            .where("rank > early_rank")
+            late.join(
+                early,
+                (F.col("late_entry") == F.col("entry")) & (F.col("rank") > F.col("early_rank")) & may_be_near,
+            )
             .select(F.col("line_id").alias("late"), "early")
             .distinct()
             .join(tested, ["late", "early"], "left_anti")
         )
         tested = stage(tested.union(pairs))
         near = stage(near.union(_near(pairs, texts, threshold)).distinct())
-        behind = 2 * behind + 1
+        behind = STEP * behind + 1
 
 
 def repeated_lines(
@@ -301,13 +339,13 @@ def repeated_lines(
     """doc_id and removed: the numbers of its lines (from 0, ascending) that repeat earlier ones."""
     lines = _lines(docs, id_col, text_col, least_chars)
     occurrences = stage(lines.select("doc_id", "line_no", "line_id"))
-    repeated = stage(
-        occurrences.groupBy("line_id")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("line_id", "first")
+    firsts = stage(
+        occurrences.groupBy("line_id").agg(
+            F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")
+        )
     )
-    near = near_lines(lines, threshold)
+    repeated = firsts.where("n > 1").select("line_id", "first")
+    near = near_lines(lines, firsts, threshold)
     decided = stage(
         repeated.join(near.withColumn("near", F.lit(True)), "line_id", "full").select(
             "line_id", F.when(F.col("near").isNull(), F.col("first")).alias("stays")
@@ -329,10 +367,11 @@ def dedup_lines(
     text_col: str = "text",
     threshold: int = THRESHOLD,
     least_chars: int = LEAST_CHARS,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and n_lines, n_removed.
+    """``docs`` with repeated lines taken out of the text, and two further columns, n_lines and n_removed.
 
-    Columns of ``docs`` with these two names are replaced.
+    ``counts`` gives these two other names; columns of ``docs`` that have the names are replaced.
     """
     removed = stage(
         repeated_lines(
@@ -340,7 +379,7 @@ def dedup_lines(
         )
     ).select(F.col("doc_id").alias("__line_doc"), F.col("removed").alias("__line_gone"))
     gone = F.col("__line_gone")
-    joined = docs.drop("n_lines", "n_removed").join(
+    joined = docs.drop(*counts).join(
         _limited(removed), F.col(id_col).cast("long") == F.col("__line_doc"), "left"
     )
     lines = F.split(text_col, "\n")
@@ -349,8 +388,8 @@ def dedup_lines(
         *(
             F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in docs.columns
-            if c not in ("n_lines", "n_removed")
+            if c not in counts
         ),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1]),
     )

@@ -18,7 +18,7 @@ EDGE_ROWS = [
     (9008, "the same row twice, told two times over"),
 ]
 #: Names that operators use inside; none may clash with a column of the input.
-EXTRA = ["n", "h", "key", "words", "start", "length", "kept", "line", "n_removed", "n_entities", "__pipeline_key"]
+EXTRA = ["n", "h", "key", "words", "start", "length", "kept", "line", "n_lines", "n_removed", "n_entities", "__pipeline_key"]
 
 
 @pytest.fixture(scope="session")

@@ -126,3 +126,46 @@ def test_one_open_line_behind_a_settled_pivot(frame):
     got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(rows)).collect())
     assert got == naive(rows)
     assert [n for _, _, n in got] == [0, 1, 0, 1, 1]
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_sketches_of_near_lines_are_near(spark, threshold):
+    rng, pairs = random.Random(threshold), []
+    for _ in range(500):
+        a = "".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(4, 60)))
+        pairs.append((a, edited(a, rng, rng.randint(0, threshold))))
+    sketch = line_dedup.pair_sketch
+    bits = F.bit_count(sketch(F.col("a")).bitwiseXOR(sketch(F.col("b")))).alias("bits")
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", bits).collect():
+        assert r["bits"] <= 4 * threshold, r
+
+
+@pytest.mark.parametrize("kind", ["tails", "words"])
+def test_lines_with_one_common_segment_are_not_compared_in_pairs(frame, monkeypatch, kind):
+    """400 lines behind one head, or with one word of a line replaced each; two near copies among them."""
+    rng = random.Random(6)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    lines = []
+    for _ in range(400):
+        other = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789éèàùöäü") for _ in range(6))
+        at = rng.randrange(10, 70)
+        tail = "".join(rng.choice("abcdefgh ") for _ in range(100))
+        lines.append(head + tail if kind == "tails" else head[:at] + other + head[at + 6 :])
+    lines[300] = lines[100][:-3] + "x" + lines[100][-2:]
+    seen, near = [], line_dedup._near
+
+    def counted(pairs, texts, threshold):
+        seen.append(pairs.count())
+        return near(pairs, texts, threshold)
+
+    monkeypatch.setattr(line_dedup, "_near", counted)
+    rows = list(enumerate(line.strip() for line in lines))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(rows)).collect()}
+    assert got == {i: (t, 0) if i != 300 else ("", 1) for i, t in rows}
+    assert sum(seen) < 5 * len(lines), seen
+
+
+def test_counts_under_other_names_leave_columns(frame):
+    docs = frame([(1, "x" * 40), (2, "x" * 40)])
+    got = line_dedup.dedup_lines(docs, counts=("lines", "gone")).collect()
+    assert {(r["doc_id"], r["gone"], r["n_removed"]) for r in got} == {(1, 0, "n_removed"), (2, 1, "n_removed")}
