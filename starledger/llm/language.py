@@ -38,8 +38,9 @@ RUN = (4, 40)  # words of one language in a training chain, least and most
 EPOCHS = 20
 RATE = 0.15
 DECAY = 0.1
-WORDS_AT_ONCE = 200_000
-CACHED_WORDS = 300_000
+WORDS_AT_ONCE = 50_000
+NEW_WORDS_AT_ONCE = 10_000
+CACHED_WORDS = 100_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - 16)
@@ -284,15 +285,15 @@ class _Labeller:
             grown = np.empty((2 * len(ids), self.potentials.shape[1]), np.float32)
             grown[:known] = self.potentials[:known]
             self.potentials = grown
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
+        for at in range(0, len(fresh), NEW_WORDS_AT_ONCE):
+            part = fresh[at : at + NEW_WORDS_AT_ONCE]
             self.potentials[known + at : known + at + len(part)] = self.model.potentials(part)
         starts, sizes = chains(np.array([len(words) for words in texts], np.int64))
         return word_marginals(self.potentials[np.array(flat, np.int64)], self.transition, starts, sizes)
 
 
 def _predicted(texts: Iterable[str | None], labeller: _Labeller | None) -> Iterator[tuple]:
-    """Language, score, shares and switches of each text, some texts at a time."""
+    """Language, score, shares, switches and certainty of each text, some texts at a time."""
     group, size = [], 0
     for text in texts:
         group.append(words_of(text))
@@ -311,6 +312,7 @@ def _predicted_group(group: list[list[str]], labeller: _Labeller | None) -> list
         lengths = np.array([len(t) for t in texts])
         starts = np.cumsum(lengths) - lengths
         shares = np.add.reduceat(marginals.astype(np.float64), starts) / lengths[:, None]
+        certainties = np.add.reduceat(marginals.max(1).astype(np.float64), starts) / lengths
         best = marginals.argmax(1)
         differs = np.concatenate([[0], (best[1:] != best[:-1]).astype(np.int64)])
         differs[starts] = 0
@@ -318,13 +320,13 @@ def _predicted_group(group: list[list[str]], labeller: _Labeller | None) -> list
     at = 0
     for words in group:
         if not (labeller and words):
-            rows.append((UNDETERMINED, 0.0, None, 0))
+            rows.append((UNDETERMINED, 0.0, None, 0, 0.0))
             continue
         own = shares[at]
         likeliest = int(own.argmax())
         score = min(1.0, float(own[likeliest]))
         language = labeller.model.languages[likeliest]
-        rows.append((language, score, own, int(switches[at])))
+        rows.append((language, score, own, int(switches[at]), min(1.0, float(certainties[at]))))
         at += 1
     return rows
 
@@ -350,7 +352,7 @@ def identify(
         names = ["doc_id", "lang_pred", "score", "shares", "n_switches"]
         for batch in batches:
             rows = list(_predicted(_texts(batch.column(1)), labeller))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+            columns = list(zip(*rows, strict=True))[:4] or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -364,15 +366,27 @@ def identify(
 
 
 def keep_identified(
-    docs: DataFrame, model: Model | None, least_score: float, *, text_col: str = "text"
+    docs: DataFrame,
+    model: Model | None,
+    least_score: float = 0.0,
+    *,
+    least_certainty: float = 0.0,
+    text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with at least ``least_score``."""
+    """The rows of ``docs`` whose text has a language with at least ``least_score``, and whose words
+    are labelled with at least ``least_certainty`` (the mean of each word's likeliest label).
+
+    Text that switches between languages has certain words and no large score.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(model) if model else None
         for batch in batches:
             found = _predicted(_texts(batch.column(text_col)), labeller)
-            kept = [lang != UNDETERMINED and score >= least_score for lang, score, _, _ in found]
+            kept = [
+                lang != UNDETERMINED and score >= least_score and certainty >= least_certainty
+                for lang, score, _, _, certainty in found
+            ]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -46,6 +46,8 @@ CHUNK = 2048
 SLICE_BYTES = 128  # of bit sketches that are unpacked at a time
 BAND_RATIO = 1.75
 BROADCAST_ROWS = 500_000
+ROWS_AT_ONCE = 500
+TOLD_CLASSES = 200_000
 
 
 def shingle_set(data: np.ndarray, words: int) -> np.ndarray:
@@ -119,6 +121,13 @@ def bit_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time, as their sets take more room than their texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 SETS = (
     "doc_id long, n long, h long, band long, spare long, spare_before long, keys array<long>,"
     " bits binary"
@@ -133,7 +142,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, told = Bands(percent), set()
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingle_set(text_bytes(text), words)
@@ -141,7 +150,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                 if not len(found):
                     row[2] = None
                 elif doc_id is not None and row[2] not in told:
-                    if len(told) > 2_000_000:  # telling a class twice does no harm
+                    if len(told) > TOLD_CLASSES:  # telling a class twice does no harm
                         told.clear()
                     told.add(row[2])
                     made = [sketch_keys(found, band, bands) for band in bands.of(len(found))]
@@ -166,7 +175,7 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     """Class and shingles of each document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [shingle_set(text_bytes(t), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [

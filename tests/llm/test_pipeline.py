@@ -56,7 +56,9 @@ def test_stages_follow_their_operators(spark, frame, rows, folder):
         if name == "language":
             model = language.train(frame(texts, languages))
             told = language.identify(frame(before), model).collect()
-            gone = {r["doc_id"] for r in told if r["lang_pred"] == "und" or r["score"] < 0.5}
+            unsure = corpus_pipeline.LEAST_CERTAINTY
+            gone = {r["doc_id"] for r in told if r["lang_pred"] == "und"}
+            assert all(r["score"] >= unsure for r in told if r["doc_id"] not in gone)  # none is left to certainty here
             assert kept == sorted((r for r in before if r[0] not in gone), key=str)
             assert {9001, 9002, 9003, 9006} <= gone and not gone & set(range(60))
         elif name == "lines":
@@ -113,3 +115,41 @@ def test_short_lines_that_stand_nowhere_else_stay(spark, frame):
     got = corpus_pipeline.dedup_lines(spark, frame(rows), "").collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: licence, 2: poem, 3: copied, 6: "Bye\nHello"}
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_text_in_several_languages_stays(spark, frame, rows, folder):
+    """Sure words in three languages, none of which has half of them, and text of no language known."""
+    texts, languages = rows
+    names = list(SYLLABLES)
+    mixed = "\n".join(made(names[k % len(names)], f"mix{k}", 20) for k in range(3 * len(names)))
+    docs = frame([*texts, (5000, mixed)], languages)
+    model = language.train(docs)
+    told = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    if len(names) > 2:
+        assert told[5000]["score"] < 0.5
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, folder[0]).collect()}
+    assert 5000 in kept and 9006 not in kept
+    sure = language.keep_identified(docs, model, least_certainty=1.01)
+    assert sure.collect() == []
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, frame, prose):
+    """Two texts under one id, the second of which is a near copy of a document with a smaller id."""
+    copied = prose(1, 200)
+    rows = [(3, copied), (7, prose(2, 200)), (7, copied + " more"), (9, prose(3, 200)), (9, prose(3, 200))]
+    rows += [(None, copied), (None, copied), (11, copied), (2, prose(2, 200))]
+    got = corpus_pipeline.drop_near_copies(spark, frame(rows), "").collect()
+    kept = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+    assert kept == sorted(
+        [(3, copied), (2, prose(2, 200)), (9, prose(3, 200)), (None, copied), (None, copied)], key=str
+    )
+
+
+def test_columns_of_the_input_keep_their_values(spark, frame, rows, folder):
+    texts, languages = rows
+    docs = frame(texts, languages)
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, folder[0]))
+        for r in docs.collect():
+            assert all(r[c] == c for c in extra), name
