@@ -6,18 +6,20 @@ the block's word is the XOR of the hashes that fell there. A shingle that
 only one of two sets has changes one block at most, so the number of blocks that
 differ is a lower bound of the symmetric difference. Sets of a Jaccard similarity of t
 or more, the smaller with a shingles, differ in at most d = (1 - t) / t * a shingles.
-Within a band of sizes, d is fixed by the largest a and k exceeds d, so at least
-one non-empty block is equal: blocks are the join keys (pigeonhole), and
-pairs that share a key are verified on their whole sets.
+Within a band of sizes, d is fixed by the largest a, and k is so large that sets of the band fill
+clearly more than d blocks. Of the first d + 1 filled blocks of the set that ends earlier one is
+equal in the other and among its first ones too: these blocks are the join keys (pigeonhole), with
+some to spare, and pairs that share a key are verified on their whole sets.
 
 Pairs whose bit sketches (parities of hashed positions) differ in more bits than the threshold
 allows are dropped before that: the Hamming distance is a lower bound of the symmetric difference, too.
 
-How nothing is lost where keys are crowded: a class with m non-empty blocks agrees with any partner
-in m - d of them. Keys shared by more than ``CROWD`` classes are left out by those classes that
+How nothing is lost where keys are crowded: similar classes with m and m' keys agree
+in at least max(m, m') - d of them. Keys shared by more than ``CROWD`` classes are left out by those classes that
 have at most m - d - 1 such keys, which leaves an agreeing key; other
 classes keep all of theirs (true groups of near copies do). A class with m <= d gets one more key
-of its band, the only case in which just empty blocks may agree. The pivot of a key, the class that shares most with others, is compared
+of its band, the only case in which just empty blocks may agree; fewer than one random set in a thousand
+is of that kind, in any band, at thresholds of 80 % and above. The pivot of a key, the class that shares most with others, is compared
 with all its members (a star). Stars whose members are then still in different components are
 compared chunk by chunk inside tasks, and only pairs of different components that
 their sketches allow are verified. So every pair of a key is verified, ruled out or already
@@ -44,7 +46,8 @@ from starledger.sources.staging import stage
 CROWD = 64
 CHUNK = 2048
 SLICE_BYTES = 128  # of bit sketches that are unpacked at a time
-BAND_RATIO = 1.75
+BAND_RATIO = 1.5
+SURE = 4.5  # standard deviations that the filled blocks of a band's least sets lie above d
 BROADCAST_ROWS = 500_000
 ROWS_AT_ONCE = 500
 TOLD_CLASSES = 200_000
@@ -70,6 +73,13 @@ def _class_of(shingles: np.ndarray) -> int:
 # --- sketches ------------------------------------------------------------------
 
 
+def _filled(n: int, blocks: int) -> float:
+    """Blocks that n random shingles fill, less ``SURE`` standard deviations."""
+    load = n / blocks
+    empty = np.exp(-load)
+    return blocks * (1 - empty) - SURE * np.sqrt(blocks * empty * max(0.0, 1 - (1 + load) * empty))
+
+
 class Bands:
     """Size bands for a threshold in percent: least size, allowed difference, blocks."""
 
@@ -80,7 +90,13 @@ class Bands:
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND_RATIO)))
         self.allowed = [(100 - percent) * (u - 1) // percent for u in self.edges[1:]]
-        self.blocks = [d + 2 + -(-d // 16) for d in self.allowed]
+        self.most_keys = [d + 3 + d // 16 for d in self.allowed]
+        self.blocks = []
+        for least, above, d in zip(self.edges, self.edges[1:], self.allowed):
+            blocks = d + 1
+            while _filled(least, blocks) < d + 1 and blocks < 4 * above:
+                blocks += max(1, blocks // 50)
+            self.blocks.append(blocks)
 
     def of(self, n: int) -> list[int]:
         """Own band, and the one before if a smaller partner may be there."""
@@ -98,9 +114,10 @@ def sketch_keys(shingles: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarr
     narrow = block.astype(np.uint16 if k < 1 << 16 else np.int64)
     order = np.argsort(narrow, kind="stable")
     sizes = np.bincount(narrow, minlength=k)
-    full = np.flatnonzero(sizes)
+    full = np.flatnonzero(sizes)[: bands.most_keys[band]]
     firsts = (np.cumsum(sizes) - sizes)[full]
-    words = np.bitwise_xor.reduceat(shingles[order], firsts)
+    in_order = shingles[order[: firsts[-1] + sizes[full[-1]]]]
+    words = np.bitwise_xor.reduceat(in_order, firsts)
     salt = mix64((full + 1).astype(np.uint64) * BASE + np.uint64(band))
     keys = mix64(words ^ salt)
     if len(full) <= d:

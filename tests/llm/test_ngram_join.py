@@ -63,6 +63,27 @@ def rows(prose):
     return [*enumerate(made), *EDGE_ROWS]
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_few_sets_fill_no_more_blocks_than_may_differ(percent):
+    """Such sets share one key of their band, so they must be rare at a band's least size, too."""
+    rng, bands = np.random.default_rng(5), ngram_join.Bands(percent)
+    for band, least in enumerate(e for e in bands.edges if e < 2000):
+        blocks, allowed = bands.blocks[band], bands.allowed[band]
+        few = sum(len(np.unique(rng.integers(0, blocks, least))) <= allowed for _ in range(4000))
+        assert few <= 4, (least, few)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_meet_in_no_key(percent):
+    rng, bands, met = np.random.default_rng(6), ngram_join.Bands(percent), {}
+    for _ in range(2000):
+        found = np.unique(rng.integers(0, 2**64, int(rng.integers(105, 140)), dtype=np.uint64))
+        for band in bands.of(len(found)):
+            for key in ngram_join.sketch_keys(found, band, bands)[0].tolist():
+                met[key] = met.get(key, 0) + 1
+    assert max(met.values()) <= 10
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
 def test_components_equal_all_pairs(frame, rows, monkeypatch, words, percent):
     monkeypatch.setattr(ngram_join, "CROWD", 3)  # so that the rules for crowded keys are used
