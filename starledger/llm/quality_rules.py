@@ -2,7 +2,8 @@
 
 Base metrics fail short and repetitive texts. The method's verdict compares two histograms of a
 text, of character classes and of common words, with those of each language by the
-Jensen-Shannon distance; a text stays if some language is near enough in both. The references
+Jensen-Shannon distance; a text stays if one language is near enough in both. Languages whose texts hold
+almost none of the listed words are judged by character classes alone. The references
 are the histograms of all texts of a language that pass the base rules; texts that are far from the first
 references are left out of the second ones, which decide. Histograms of short texts are noise, so
 a text below a least number of words or letters is not judged by them.
@@ -14,7 +15,7 @@ there is no reference and the base rules decide alone.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +30,24 @@ JUDGED_WORDS = 50
 JUDGED_CHARS = 250
 MOST_CLASS_DISTANCE = 0.18
 MOST_WORD_DISTANCE = 0.4
+LEAST_LISTED = 0.05  # share of listed words in a language's texts, below which they do not judge it
 
 # --- fixed values: character classes and common words of languages -------------
 
-CHARACTER_CLASSES = {
-    "vowel": "[aeiouy]",
-    "consonant": "[b-df-hj-np-tv-xz]",
-    "other_lower": r"[\p{Ll}&&[^a-z]]",
-    "upper": r"\p{Lu}",
-    "other_letter": r"[\p{L}&&[^\p{Lu}\p{Ll}]]",
-    "digit": r"\p{N}",
-    "stop": "[.,;:!?'\"()-]",
-    "space": r"[\x20\x09-\x0D]",
+VOWELS = "aeiouy"
+# Runs that are cut from a text one after the other; each pattern meets what those before it left.
+PEELED = {
+    "ascii_lower": "[a-z]+",
+    "space": SPACE,
+    "upper": r"\p{Lu}+",
+    "other_lower": r"\p{Ll}+",
+    "other_letter": r"\p{L}+",
+    "digit": r"\p{N}+",
+    "stop": "[.,;:!?'\"()-]+",
 }
+CHARACTER_CLASSES = [
+    "vowel", "consonant", "other_lower", "upper", "other_letter", "digit", "stop", "space",
+]
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
     "en": "the of and to in is that for it was with as be on by this are from at or",
@@ -79,21 +85,24 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 
         return let(let(F.array_sort(at), positions), width)
 
-    def hashed(w: Column) -> Column:
-        return F.when(
-            F.size(w) >= window,
-            F.transform(
-                F.sequence(F.lit(1), F.size(w) - (window - 1)),
-                lambda i: F.xxhash64(F.slice(w, i, window)),
-            ),
-        )
+    def paired(step: int) -> Callable[[Column], Column]:
+        """From hashes of runs of ``step`` words those of runs twice as long."""
+
+        def pairs(h: Column) -> Column:
+            n = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+
+        return pairs
 
     def count(hashes: Column) -> Column:
         same = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        return F.when(hashes.isNull() | same, F.lit(0)).otherwise(covered(hashes))
+        return F.when(same, F.lit(0)).otherwise(covered(hashes))
 
-    word_hashes = F.transform(found, lambda w: F.xxhash64(w))
-    return let(let(word_hashes, hashed), count)
+    hashes, run = F.transform(found, lambda w: F.xxhash64(w)), 1
+    while run < window:
+        hashes = let(hashes, paired(min(run, window - run)))
+        run *= 2
+    return let(hashes, count)
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -106,18 +115,25 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     common = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w.isin(COMMON))
     spaced = F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))
     split = narrow.withColumns({"words": words(F.col("text")), "lines": lines, "common": spaced})
-    classes = [F.regexp_count("text", F.lit(p)) for p in CHARACTER_CLASSES.values()]
+    split = split.withColumn("vowel", F.length(F.regexp_replace("text", f"[^{VOWELS}]+", "")))
+    left = "text"
+    for name, pattern in PEELED.items():
+        split = split.withColumn(f"after_{name}", F.regexp_replace(left, pattern, ""))
+        split = split.withColumn(name, F.length(left) - F.length(f"after_{name}"))
+        left = f"after_{name}"
+    split = split.withColumn("consonant", F.col("ascii_lower") - F.col("vowel"))
+    symbols = F.length(left) - F.length(F.regexp_replace(left, "[#*$%&|<>]+", ""))
     commons = [_occurrences("common", w) for w in COMMON]
     return split.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.length("text") - F.col("space")).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.length("text").cast("long").alias("n_chars"),
-        F.array(*classes).alias("classes"),
+        F.array(*CHARACTER_CLASSES).alias("classes"),
         F.array(*commons).alias("commons"),
     ).withColumns(
         {
@@ -179,13 +195,39 @@ def jensen_shannon(counts: Column, reference: list[float]) -> Column:
     return let(own, divergence)
 
 
-def _nearest(rows: DataFrame, shares: list[tuple[list[float], list[float]]]) -> DataFrame:
-    """Rows with the distances of both histograms to the nearest language, rounded to 6 digits."""
-    for column, name, part in (("class_distance", "classes", 0), ("word_distance", "commons", 1)):
-        distances = [jensen_shannon(F.col(name), r[part]) for r in shares]
-        least = reduce(lambda a, b: F.least(a, b), distances) if distances else F.lit(None)
-        rows = rows.withColumn(column, F.round(least.cast("double"), 6))
-    return rows
+def _nearest(
+    rows: DataFrame, shares: list[tuple[list[float], list[float]]], most_class: float, most_word: float
+) -> DataFrame:
+    """Rows with both distances to the nearest language, rounded to 6 digits, and how far it is.
+
+    A language is as far as the larger of its distances, each in parts of what is allowed. The word
+    distance is null if the nearest language is judged without.
+    """
+    if not shares:
+        none = F.lit(None).cast("double")
+        return rows.withColumns({"class_distance": none, "word_distance": none, "far": none})
+    distances = []
+    for at, (classes, commons) in enumerate(shares):
+        by_class = F.round(jensen_shannon(F.col("classes"), classes), 6)
+        by_word = F.lit(None).cast("double")
+        if 1 - commons[-1] >= LEAST_LISTED:
+            by_word = F.round(jensen_shannon(F.col("commons"), commons), 6)
+        distances.append(F.struct(by_class.alias("c"), by_word.alias("w"), F.lit(at).alias("at")))
+    measured = F.transform(
+        F.array(*distances),
+        lambda d: F.struct(
+            F.greatest(d["c"] / most_class, F.coalesce(d["w"] / most_word, F.lit(0.0))).alias("far"),
+            d["at"].alias("at"),
+            d["c"].alias("c"),
+            d["w"].alias("w"),
+        ),
+    )
+    return (
+        rows.withColumn("nearest", F.array_min(measured))
+        .withColumns({"class_distance": F.col("nearest.c"), "word_distance": F.col("nearest.w")})
+        .withColumn("far", F.col("nearest.far"))
+        .drop("nearest")
+    )
 
 
 def judge(
@@ -202,17 +244,14 @@ def judge(
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
     )
     far = (F.col("n_words") >= JUDGED_WORDS) & (F.col("n_chars") >= JUDGED_CHARS)
-    far &= F.coalesce(
-        (F.col("class_distance") > most_class_distance)
-        | (F.col("word_distance") > most_word_distance),
-        F.lit(False),
-    )
+    far &= F.coalesce(F.col("far") > 1, F.lit(False))
     measured = measure(docs, id_col, text_col, lang_col).withColumn("base_failed", base_failed)
     measured = stage(measured)
     sound = measured.where("NOT base_failed")
-    near = _nearest(sound, references(sound)).where(~far)
+    limits = most_class_distance, most_word_distance
+    near = _nearest(sound, references(sound), *limits).where(~far)
     return (
-        _nearest(measured, references(near))
+        _nearest(measured, references(near), *limits)
         .withColumn("kept", ~F.col("base_failed") & ~far)
-        .drop("classes", "commons", "n_chars", "lang")
+        .drop("classes", "commons", "n_chars", "lang", "far")
     )

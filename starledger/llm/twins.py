@@ -21,6 +21,7 @@ COMMON = (
     "de la que el en y a los se del las un por con no una para es al lo "
     "de la le et les des en un du une que est pour qui dans par sur pas au avec"
 )
+LAST_WORD_BIN = len(set(COMMON.split()))  # counts the words that are not listed
 
 NGRAM_JACCARD = """
 WITH RECURSIVE worded AS MATERIALIZED (
@@ -98,35 +99,44 @@ WITH texts AS (
 ), first_shares AS MATERIALIZED (
     SELECT lang, kind, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q
     FROM bins WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang, kind, bin
-), first_distances AS (
-    SELECT doc_id, kind, round(min(d), 6) AS d FROM (
-        SELECT doc_id, kind, lang, sqrt(greatest(sum(
+), first_distances AS MATERIALIZED (
+    SELECT doc_id, lang, max(d) FILTER (kind = 'class') AS class_d,
+        max(d) FILTER (kind = 'word' AND lang IN (SELECT s.lang FROM first_shares s
+            WHERE s.kind = 'word' AND s.bin = {LAST_WORD_BIN} AND 1 - s.q >= 0.05)) AS word_d
+    FROM (
+        SELECT doc_id, kind, lang, round(sqrt(greatest(sum(
             (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
-             + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS d
+             + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)), 6) AS d
         FROM (SELECT doc_id, kind, bin, p FROM own) JOIN first_shares USING (kind, bin)
-        GROUP BY doc_id, kind, lang) GROUP BY doc_id, kind
+        GROUP BY doc_id, kind, lang)
+    GROUP BY doc_id, lang
 ), near AS (
-    SELECT j.doc_id FROM judged j
-    JOIN first_distances a ON a.doc_id = j.doc_id AND a.kind = 'class'
-    JOIN first_distances b ON b.doc_id = j.doc_id AND b.kind = 'word'
-    WHERE NOT base_failed AND NOT (long_enough AND (a.d > 0.18 OR b.d > 0.4))
+    SELECT j.doc_id FROM judged j WHERE NOT base_failed AND (NOT long_enough OR EXISTS (
+        SELECT 1 FROM first_distances f
+        WHERE f.doc_id = j.doc_id AND f.class_d <= 0.18 AND coalesce(f.word_d, 0) <= 0.4))
 ), shares AS MATERIALIZED (
     SELECT lang, kind, bin, sum(c) / sum(sum(c)) OVER (PARTITION BY lang, kind) AS q
     FROM bins JOIN near USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang, kind, bin
-), distances AS (
-    SELECT doc_id, kind, round(min(d), 6) AS d FROM (
-        SELECT doc_id, kind, lang, sqrt(greatest(sum(
+), distances AS MATERIALIZED (
+    SELECT doc_id, lang, max(d) FILTER (kind = 'class') AS class_d,
+        max(d) FILTER (kind = 'word' AND lang IN (SELECT s.lang FROM shares s
+            WHERE s.kind = 'word' AND s.bin = {LAST_WORD_BIN} AND 1 - s.q >= 0.05)) AS word_d
+    FROM (
+        SELECT doc_id, kind, lang, round(sqrt(greatest(sum(
             (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
-             + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS d
+             + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)), 6) AS d
         FROM (SELECT doc_id, kind, bin, p FROM own) JOIN shares USING (kind, bin)
-        GROUP BY doc_id, kind, lang) GROUP BY doc_id, kind
+        GROUP BY doc_id, kind, lang)
+    GROUP BY doc_id, lang
+), nearest AS (
+    SELECT doc_id, class_d, word_d, class_d <= 0.18 AND coalesce(word_d, 0) <= 0.4 AS is_near
+    FROM distances QUALIFY row_number() OVER (PARTITION BY doc_id
+        ORDER BY greatest(class_d / 0.18, coalesce(word_d / 0.4, 0)), lang) = 1
 )
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    a.d AS class_distance, b.d AS word_distance,
-    NOT base_failed AND NOT (long_enough AND (a.d > 0.18 OR b.d > 0.4)) AS kept
-FROM judged j
-JOIN distances a ON a.doc_id = j.doc_id AND a.kind = 'class'
-JOIN distances b ON b.doc_id = j.doc_id AND b.kind = 'word'
+    class_d AS class_distance, word_d AS word_distance,
+    NOT base_failed AND (NOT long_enough OR is_near) AS kept
+FROM judged j JOIN nearest n ON n.doc_id = j.doc_id
 """
 
 SPACED_SEEDS = """

@@ -99,5 +99,18 @@ def test_without_languages_the_base_rules_decide(frame, rows):
         assert r["kept"] == (not r["base_failed"]) and r["class_distance"] is None
 
 
+def test_one_language_must_be_near_in_both(frame):
+    """Letters like one language's do not pass by the words of another that has no listed words."""
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    rng = np.random.default_rng(3)
+    greek = [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(70)) + "." for _ in range(60)]
+    english = [" ".join(rng.permutation((ENGLISH * 4).split())) for _ in range(30)]
+    gibberish = " ".join("".join(rng.choice(list("etaoinshrdlu"), 5)) for _ in range(90)) + "."
+    rows = list(enumerate([*english, *greek, gibberish]))
+    languages = {i: "en" if i < 30 else "el" for i, _ in rows[:-1]}
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(frame(rows, languages)).collect()}
+    assert [i for i, _ in rows if not kept[i]] == [len(rows) - 1]
+
+
 def test_empty_table(frame):
     assert quality_rules.judge(frame([])).collect() == []
