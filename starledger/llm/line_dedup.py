@@ -15,7 +15,8 @@ an entry is compared with all others, which settles groups of near copies; lines
 unsettled meet ``STEP`` times as many earlier lines in each further round, until each was compared with
 every earlier line of its entries. In these rounds a pair leaves the join only if its sketches allow it: the
 parities of a line's hashed character pairs, of which an edit changes four at most, so that lines which
-share a segment and little else are ruled out by one comparison of two numbers.
+share a segment and little else, or differ from one base in places of their own, are ruled out by comparing a few
+numbers. So many bits are kept that the pairs of characters in which such lines differ seldom hash to the same bit.
 Hot lines are merged before they are joined. Lines and segments are compared by 64-bit hashes.
 
 Null text stays null. Rows with a null id are neither changed nor compared. Rows that repeat an id and text
@@ -34,6 +35,7 @@ THRESHOLD = 2
 LEAST_CHARS = 30
 BROADCAST_ROWS = 500_000
 STEP = 8
+SKETCH_WORDS = 8  # of 64 bits each
 
 
 def segments(length: Column, threshold: int, number: int) -> tuple[Column, Column]:
@@ -108,9 +110,6 @@ def within(left: Column, right: Column, threshold: int) -> Column:
     bits = F.array(*(F.lit(1 << b) for b in range(width)))
     ends = F.array(*(F.lit(top >> e) for e in range(threshold + 1)))
 
-    def characters(text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-
     def inverted(x: Column) -> Column:
         return x.bitwiseXOR(F.lit(every))
 
@@ -168,7 +167,7 @@ def within(left: Column, right: Column, threshold: int) -> Column:
         longer = F.length(pair[0]) >= F.length(pair[1])
         first = F.when(longer, pair[0]).otherwise(pair[1])
         second = F.when(longer, pair[1]).otherwise(pair[0])
-        walked = let(characters(first), lambda a: let(characters(second), lambda b: run(a, b)))
+        walked = let(_characters(first), lambda a: let(_characters(second), lambda b: run(a, b)))
         return walked if threshold > 2 else F.when(may_be_near(first, second), walked).otherwise(False)
 
     def may_be_near(long: Column, short: Column) -> Column:
@@ -180,25 +179,39 @@ def within(left: Column, right: Column, threshold: int) -> Column:
     return let(without_common_ends(left, right), ordered)
 
 
+def _characters(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+
+
 def pair_sketch(line: Column) -> Column:
-    """64 bits: each the parity of the pairs of neighbouring characters that hash to it.
+    """``SKETCH_WORDS`` words of bits: each bit the parity of the pairs of neighbouring characters that hash to it.
 
     An edit takes away two such pairs and adds two at most, so lines within ``threshold`` edits differ in
     at most four times as many bits.
     """
 
+    def flipped(word: Column, bit: Column) -> Column:
+        return word.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64))))
+
+    def words_of(bits: Column) -> Column:
+        def word(number: int) -> Column:
+            own = F.filter(bits, lambda bit: F.shiftright(bit, 6) == number)
+            return F.aggregate(own, F.lit(0).cast("long"), flipped)
+
+        return F.array(*map(word, range(SKETCH_WORDS)))
+
     def of(characters: Column) -> Column:
         after = F.slice(characters, 2, F.greatest(F.size(characters), F.lit(1)))
-        pairs = F.zip_with(
-            characters, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int")
-        )
+        bit = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64 * SKETCH_WORDS)).cast("int")
+        return let(F.zip_with(characters, after, bit), words_of)
 
-        def flipped(word: Column, bit: Column) -> Column:
-            return word.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return let(_characters(line), of)
 
-        return F.aggregate(pairs, F.lit(0).cast("long"), flipped)
 
-    return let(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), of)
+def sketch_distance(left: Column, right: Column) -> Column:
+    """Number of bits in which two sketches differ."""
+    differ = (F.bit_count(F.get(left, w).bitwiseXOR(F.get(right, w))) for w in map(F.lit, range(SKETCH_WORDS)))
+    return sum(differ, F.lit(0))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
@@ -312,7 +325,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame
             F.col("rank").alias("early_rank"),
             F.col("bits").alias("early_bits"),
         )
-        may_be_near = F.bit_count(F.col("bits").bitwiseXOR(F.col("early_bits"))) <= 4 * threshold
+        may_be_near = sketch_distance(F.col("bits"), F.col("early_bits")) <= 4 * threshold
         late = ranked.where("open").withColumnRenamed("entry", "late_entry")
         pairs = stage(
             late.join(

@@ -135,11 +135,24 @@ def test_sketches_of_near_lines_are_near(spark, threshold):
         a = "".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(4, 60)))
         pairs.append((a, edited(a, rng, rng.randint(0, threshold))))
     sketch = line_dedup.pair_sketch
-    bits = F.bit_count(sketch(F.col("a")).bitwiseXOR(sketch(F.col("b")))).alias("bits")
+    bits = line_dedup.sketch_distance(sketch(F.col("a")), sketch(F.col("b"))).alias("bits")
     for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", bits).collect():
         assert r["bits"] <= 4 * threshold, r
 
 
+def test_sketches_tell_apart_what_was_put_into_one_base(spark):
+    """Lines with four characters of their own in different places: next to none may pass as near."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("etaoin shrdlu") for _ in range(400))
+    lines = [base[:at] + "".join(rng.choices("bcfgjkmpqvwxyz", k=4)) + base[at:] for at in range(0, 400, 2)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    told = frame.select("i", line_dedup.pair_sketch(F.col("line")).alias("bits"))
+    other = told.select(F.col("i").alias("j"), F.col("bits").alias("others"))
+    both = told.join(other, F.col("i") < F.col("j"))
+    passed = both.where(line_dedup.sketch_distance(F.col("bits"), F.col("others")) <= 8).count()
+    assert passed < len(lines) * (len(lines) - 1) / 2 * 0.05
+
+
 @pytest.mark.parametrize("kind", ["tails", "words"])
 def test_lines_with_one_common_segment_are_not_compared_in_pairs(frame, monkeypatch, kind):
     """400 lines behind one head, or with one word of a line replaced each; two near copies among them."""
