@@ -1,7 +1,7 @@
 """Personal data: detection and surrogates.
 
 Detected entities get keyed replacements of their own type: an address stays an address, digits stay
-digits in the places and separators they had, card numbers keep a valid check digit, network
+digits in the places and separators they had, card numbers and IBANs get valid check digits, network
 addresses stay valid, and names keep their form of address, its gender, their
 script, their number of words and their case.
 
@@ -201,9 +201,27 @@ def _luhn_digit(body: Column) -> Column:
 
 
 def _iban(entity: Column, hexes: Column) -> Column:
-    rest = F.substring(entity, F.lit(3), F.length(entity))
-    refilled = _refilled(_refilled(rest, r"\d", _digits(hexes)), "[A-Z]", F.upper(_letters(hexes)))
-    return F.concat(F.substring(entity, 1, 2), refilled)
+    """The country stays; the check digits make the number valid."""
+    country = F.substring(entity, 1, 2)
+    account = F.substring(entity, F.lit(5), F.length(entity))
+
+    def checked(filled: Column) -> Column:
+        return F.concat(country, _iban_check(filled, country), filled)
+
+    refilled = _refilled(_refilled(account, r"\d", _digits(hexes)), "[A-Z]", F.upper(_letters(hexes)))
+    return let(refilled, checked)
+
+
+def _iban_check(account: Column, country: Column) -> Column:
+    """Two digits: 98 less the remainder by 97 of account, country and 00, letters read as 10 to 35."""
+    signs = F.regexp_extract_all(F.concat(account, country, F.lit("00")), F.lit("[A-Z0-9]"), F.lit(0))
+
+    def step(remainder: Column, sign: Column) -> Column:
+        letter = sign >= "A"
+        value = F.ascii(sign) - F.when(letter, 55).otherwise(48)
+        return F.pmod(remainder * F.when(letter, 100).otherwise(10) + value, F.lit(97))
+
+    return F.lpad((98 - F.aggregate(signs, F.lit(0), step)).cast("string"), 2, "0")
 
 
 def _picked(words: str, hexes: Column, at: int | Column) -> Column:

@@ -68,6 +68,18 @@ def test_types_formats_gender_and_script(result):
     assert re.search(r"Κύριος (\w+) ", text)[1] in pii.GIVEN["greek", "male"].split()
 
 
+def test_surrogate_ibans_are_valid(frame):
+    known = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    found = replaced(frame, list(enumerate(f"to {x} now" for x in known)))
+    for i, old in enumerate(known):
+        new = found[i]["text"].removeprefix("to ").removesuffix(" now")
+        assert new != old and re.sub(r"\d", "0", re.sub("[A-Z]", "A", new)) == re.sub(
+            r"\d", "0", re.sub("[A-Z]", "A", old)
+        )
+        plain = new.replace(" ", "")
+        assert new[:2] == old[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def test_key_decides(frame, result):
     assert replaced(frame, [(0, TEXTS[0])], key="other")[0]["text"] != result[0]["text"]
 
